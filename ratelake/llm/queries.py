@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratelake.llm.decontamination import contamination_digest
 from ratelake.llm.mixing import mix_sources
+from ratelake.llm.near_dedup import near_duplicate_digest
 from ratelake.llm.ogg_media import ogg_digest
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.url_filter import judge_urls
@@ -32,10 +33,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_digest(table(spark, sf_dir, "documents"))
+
+
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_decontamination, op6_mixing, op10_ogg_media)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_decontamination, op6_mixing, op8_near_dedup, op10_ogg_media)}
 
 ORACLE_SQL: dict[str, str] = {}
