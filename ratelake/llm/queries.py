@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ratelake.llm.decontamination import contamination_digest
+from ratelake.llm.language_id import language_id
 from ratelake.llm.mixing import mix_sources
 from ratelake.llm.near_dedup import near_duplicate_digest
 from ratelake.llm.ogg_media import ogg_digest
+from ratelake.llm.suffix_dedup import repeat_digest
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.url_filter import judge_urls
 
@@ -29,10 +31,18 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_digest(table(spark, sf_dir, "documents"))
 
@@ -41,6 +51,18 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_url_filter, op3_decontamination, op6_mixing, op8_near_dedup, op10_ogg_media)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op2_url_filter,
+        op3_decontamination,
+        op4_language_id,
+        op6_mixing,
+        op7_suffix_dedup,
+        op8_near_dedup,
+        op10_ogg_media,
+    )
+}
 
 ORACLE_SQL: dict[str, str] = {}
