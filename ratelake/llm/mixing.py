@@ -1,7 +1,7 @@
 """Mixing sources to target weights with DataFrame operations alone.
 
 Every document gets a hash-random key. Within its source, documents are ordered by that key in ranges: a range holds
-the documents whose key has the same leading part, so no source, however large, meets in one task. Sums per range and
+the documents whose key has the same leading digits, so no source, however large, meets in one task. Sums per range and
 their running totals give each range its offset, a window inside each range gives each document its own, and the
 source's budget is cut there: whole epochs first, then the prefix of the order that fills the rest to the word.
 
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of keys in a source.
-RANGES = 2048
+#: Leading hexadecimal digits of a key that make its range, so 4096 ranges in a source.
+DIGITS = 3
 
 
 def size_in_words(text: Column) -> Column:
@@ -47,11 +47,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], max_repeats: int)
     return x.select("source", "source_size", F.when(F.col("stops"), F.col("limit").cast("double")).otherwise(F.col("weight") * rest / rest_weight).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, ranges: int = RANGES) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_repeats: int = 3, digits: int = DIGITS) -> DataFrame:
     """doc_id, size, source_size, target and taken (words that the mix takes from it, repeats counted) of every document."""
-    key = F.xxhash64(F.col("doc_id"), F.lit("mix"))
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("mix")))
     x = docs.select("doc_id", "source", size_in_words(F.col("text")).alias("size"), key.alias("key"))
-    x = x.withColumn("range", F.shiftrightunsigned("key", 64 - (ranges - 1).bit_length()).cast("int"))
+    x = x.withColumn("range", F.substring("key", 1, digits))
     parts = x.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sizes = parts.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = source_targets(sizes, weights, max_repeats).withColumnRenamed("source", "of")

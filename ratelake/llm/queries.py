@@ -10,6 +10,7 @@ from ratelake.llm.language_id import language_id
 from ratelake.llm.mixing import mix_sources
 from ratelake.llm.near_dedup import near_duplicate_digest
 from ratelake.llm.ogg_media import ogg_digest
+from ratelake.llm.oracle import ORACLE_SQL  # noqa: F401
 from ratelake.llm.suffix_dedup import repeat_digest
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.url_filter import judge_urls
@@ -64,5 +65,3 @@ QUERIES = {
         op10_ogg_media,
     )
 }
-
-ORACLE_SQL: dict[str, str] = {}
