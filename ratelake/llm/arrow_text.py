@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that a task holds in numpy arrays at once; one longer text is its own slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 19
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

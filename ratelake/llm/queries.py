@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ratelake.llm.decontamination import contamination_digest
 from ratelake.llm.language_id import language_id
+from ratelake.llm.maxent_lm import lm_scores
 from ratelake.llm.mixing import mix_sources
 from ratelake.llm.near_dedup import near_duplicate_digest
 from ratelake.llm.ogg_media import ogg_digest
@@ -36,6 +37,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES = {
         op2_url_filter,
         op3_decontamination,
         op4_language_id,
+        op5_lm_scoring,
         op6_mixing,
         op7_suffix_dedup,
         op8_near_dedup,
