@@ -179,8 +179,8 @@ class Model:
 
     def posteriors(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
         words = find_words(data, offsets)
-        if not len(words.first):
-            return words, np.zeros((0, len(self.languages)))
+        if not len(words.first) or not self.languages:
+            return words, np.zeros((len(words.first), len(self.languages)))
         kinds, at, which = np.unique(words.hashes(), return_index=True, return_inverse=True)
         is_first = np.zeros(len(words.first), bool)
         is_first[words.borders[:-1][words.borders[:-1] < len(is_first)]] = True

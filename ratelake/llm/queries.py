@@ -12,6 +12,7 @@ from ratelake.llm.mixing import mix_sources
 from ratelake.llm.near_dedup import near_duplicate_digest
 from ratelake.llm.ogg_media import ogg_digest
 from ratelake.llm.oracle import ORACLE_SQL  # noqa: F401
+from ratelake.llm.quality import quality_grades
 from ratelake.llm.suffix_dedup import repeat_digest
 from ratelake.llm.token_counts import token_counts
 from ratelake.llm.url_filter import judge_urls
@@ -53,6 +54,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_grades(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_digest(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ QUERIES = {
         op6_mixing,
         op7_suffix_dedup,
         op8_near_dedup,
+        op9_quality,
         op10_ogg_media,
     )
 }

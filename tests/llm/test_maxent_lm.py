@@ -54,6 +54,6 @@ def test_chances_sum_to_one():
     v = lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), rng.integers(0, 50, lm.BUCKETS), rng.integers(0, 9, lm.BUCKETS), 1, 1)
     w = lm.initial_weights(v)
     w = w.with_flat(w.flat() + rng.normal(0, 0.3, len(w.flat())).astype(np.float32))
-    history = np.array([5, 400, 17])
+    history = np.array([5, 200, 17])
     total = sum(10 ** lm.log10_chances(w, np.append(history, b), np.array([0, 4]))[3] for b in range(lm.BUCKETS))
     assert abs(total - 1) < 1e-4
