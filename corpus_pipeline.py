@@ -1,16 +1,83 @@
-"""A pipeline over documents; each stage is written and read again by the next."""
+"""A pipeline over documents: language ID, near-dedup, suffix dedup, decontamination, mixing.
+
+Each stage is written as Parquet and read again by the next. All but the last return the columns of documents.
+Every stage judges whatever rows it gets: null texts have no language and go with the first stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ratelake.llm.decontamination import find_contamination
+from ratelake.llm.language_id import UNDETERMINED, fit, held_out, identify
+from ratelake.llm.mixing import mix_sources
+from ratelake.llm.near_dedup import near_duplicates
+from ratelake.llm.shared_store import stored
+from ratelake.llm.suffix_dedup import remove_repeats
+
+#: A text goes if no language reaches this mean posterior over its words.
+LEAST_LANGUAGE = 0.3
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``ids`` (column doc_id); a null id stays."""
+    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are in some language that the labels teach; without any labels all stay."""
+    model = fit(docs.where(~held_out(4, 2)))
+    if not model.languages:
+        return docs
+    found = identify(docs, model)
+    return _without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE)))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: the one with the smallest id."""
+    found = near_duplicates(docs)
+    return _without(docs, found.where("doc_id <> component_id"))
+
+
+def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of passages that stand earlier; those of which nothing is left go.
+
+    Bytes of a character that is cut apart go as a whole.
+    """
+    columns = tuple(docs.columns)
+    left = remove_repeats(docs, columns)
+    whole = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
+    left = left.where("size(spans) = 0 or octet_length(kept) > 0").withColumn("text", whole)
+    return left.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark stands."""
+    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("size(spans) > 0"))
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """How much of every document the mix takes."""
+    return mix_sources(docs)
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_stage),
+    ("near_dedup", near_dedup_stage),
+    ("suffix_dedup", suffix_dedup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mixing_stage),
+]
+#: The first stage learns a model, which SQL cannot express.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows, each stage applied to all that the one before it kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        docs = out if name == STAGES[-1][0] else stored(out)
     return docs
