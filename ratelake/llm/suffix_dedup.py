@@ -9,7 +9,8 @@ in buckets of their GRAM-byte gram, a bucket with one member is done, and bucket
 2. The neighbouring strings with one anchor that stay open form a unit. Units are bucketed by their bytes. All units of
    a bucket but the first are repeated as a whole, whatever their number; the first stands for all.
 3. Where a gram's bucket has split into several units, their firsts are refined to single strings of LENGTH bytes, and
-   all of an equal group but the earliest are repeated.
+   all of an equal group but the earliest are repeated. Of a pair, the smallest and the largest position tell; only for
+   larger groups the strings are looked at again.
 
 Keys are hashes of 96 bits. Positions are ordered by doc_id, then by offset.
 
@@ -19,7 +20,7 @@ document with several texts, from each of which the bytes at their common repeat
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelake.llm.arrow_text import slices
-from ratelake.llm.shared_store import stored
+from ratelake.llm.shared_store import discard, stored
 
 LENGTH, GRAM = 100, 32
 #: One gram in so many is sampled wherever it stands.
 EVERY = 32
-#: A set of grams up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
-SENT_GRAMS = 2_000_000
+#: A set of keys up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
+SENT_KEYS = 6_000_000
 
 _rng = np.random.default_rng(977)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -134,15 +135,19 @@ def _sampled(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([_long("gram"), docs.schema["doc_id"], _long("at")]))
 
 
-def _units(texts: DataFrame) -> DataFrame:
-    """``texts`` has doc_id, text and ats: the offsets whose gram is repeated."""
+def _units(texts: DataFrame, grams: np.ndarray | None) -> DataFrame:
+    """Units of ``texts`` (doc_id, text), whose repeated grams are ``grams``, sorted, or at the offsets in a column ``ats``."""
+    sent = None if grams is None else texts.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
             x, kept = Sampled(data, offsets), np.zeros(len(data), bool)
-            ats = part.column(2)
-            places = np.repeat(offsets[:-1], ats.value_lengths().to_numpy()) + ats.flatten().to_numpy()
-            kept[places[places < len(data)]] = True
+            if sent is not None:
+                kept[x.positions] = _among(x.gram[x.positions], sent.value)
+            else:
+                ats = part.column(2)
+                places = np.repeat(offsets[:-1], ats.value_lengths().to_numpy()) + ats.flatten().to_numpy()
+                kept[places[places < len(data)]] = True
             first, sizes = x.units(kept)
             if not len(first):
                 continue
@@ -151,63 +156,105 @@ def _units(texts: DataFrame) -> DataFrame:
             powers = np.cumprod(np.full(int(sizes.max()) + 1, _STEP[14], np.uint64))
             strings = x.string[np.repeat(first, sizes) + inside] * powers[inside]
             key = _joined(np.add.reduceat(strings, np.cumsum(sizes) - sizes), sizes.astype(np.uint64), 6)
-            raw = data.tobytes()
-            content = pa.array([raw[a : a + n + LENGTH - 1] for a, n in zip(first.tolist(), sizes.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([_signed(key), _check(x.string[first] + x.string[first + sizes - 1] * _STEP[13]), _signed(x.gram[x.anchor[first]]), part.column(0).take(pa.array(row)), pa.array(first - offsets[row]), pa.array(sizes), content], names)
+            yield pa.RecordBatch.from_arrays([_signed(key), _check(x.string[first] + x.string[first + sizes - 1] * _STEP[13]), _signed(x.gram[x.anchor[first]]), part.column(0).take(pa.array(row)), pa.array(first - offsets[row]), pa.array(sizes.astype(np.int32))], names)
 
-    names = ["key", "more", "gram", "doc_id", "at", "n", "content"]
-    out = T.StructType([_long("key"), T.StructField("more", T.IntegerType()), _long("gram"), texts.schema["doc_id"], _long("at"), _long("n"), T.StructField("content", T.BinaryType())])
-    return texts.select("doc_id", "text", "ats").mapInArrow(run, out)
+    names = ["key", "more", "gram", "doc_id", "at", "n"]
+    out = T.StructType([_long("key"), T.StructField("more", T.IntegerType()), _long("gram"), texts.schema["doc_id"], _long("at"), T.StructField("n", T.IntegerType())])
+    return texts.mapInArrow(run, out)
 
 
-def _strings(units: DataFrame) -> DataFrame:
-    """Each string of LENGTH bytes of the units, with its key."""
+def _among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[np.minimum(np.searchsorted(keys, x), len(keys) - 1)] == x if len(keys) else np.zeros(len(x), bool)
+
+
+def _sent(keys: DataFrame, name: str) -> np.ndarray | None:
+    """The keys as a sorted array, if they are few enough to send."""
+    if keys.count() > SENT_KEYS:
+        return None
+    return np.sort(keys.select(name).toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def _strings(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """Each string of LENGTH bytes of the units, with its key. ``texts`` has doc_id, text and units (at, n); only: the keys looked for."""
+    sent = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 20_000):
-                part = batch.slice(start, 20_000)
-                raw = part.column(2).to_pylist()
-                data = np.frombuffer(b"".join(raw), np.uint8)
-                sizes = np.array([len(x) for x in raw]) - LENGTH + 1
-                inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                begins = np.concatenate([[0], np.cumsum(sizes + LENGTH - 1)[:-1]])
-                gram, string = gram_hashes(data)
-                at = np.repeat(begins, sizes) + inside
-                rows = np.repeat(np.arange(len(raw)), sizes)
-                # The middle's gram stands for the second part of the key.
-                yield pa.RecordBatch.from_arrays([_signed(string[at]), _check(gram[at + 40]), part.column(0).take(pa.array(rows)), pa.array(part.column(1).to_numpy()[rows] + inside)], ["key", "more", "doc_id", "at"])
-
-    out = T.StructType([_long("key"), T.StructField("more", T.IntegerType()), units.schema["doc_id"], _long("at")])
-    return units.select("doc_id", "at", "content").mapInArrow(run, out)
-
-
-def _place(docs: DataFrame) -> Callable[[], Column]:
-    """How a position is compared: as one number where ids and lengths allow, else as a pair."""
-    most = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
-    bits = int(most[2] or 0).bit_length() + 1
-    if isinstance(most[0], int) and most[0] >= 0 and most[1] < 1 << (63 - bits):
-        return lambda: F.shiftleft(F.col("doc_id").cast("long"), bits) + F.col("at")
-    return lambda: F.struct("doc_id", "at")
+        for part, data, offsets in slices(batches):
+            gram, string = gram_hashes(data)
+            lists = part.column(2)
+            units = lists.flatten()
+            row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
+            begins, sizes = units.field(0).to_numpy() + offsets[row], units.field(1).to_numpy()
+            ok = begins + sizes + LENGTH - 1 <= offsets[row + 1]  # else a text that shares its id with another
+            row, begins, sizes = row[ok], begins[ok], sizes[ok]
+            at = np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            row = np.repeat(row, sizes)
+            if sent is not None:
+                found = _among(string[at], sent.value)
+                at, row = at[found], row[found]
+            # The middle's gram stands for the second part of the key.
+            yield pa.RecordBatch.from_arrays([_signed(string[at]), _check(gram[at + 40]), part.column(0).take(pa.array(row)), pa.array(at - offsets[row])], ["key", "more", "doc_id", "at"])
+
+    out = T.StructType([_long("key"), T.StructField("more", T.IntegerType()), texts.schema["doc_id"], _long("at")])
+    return texts.mapInArrow(run, out)
+
+
+class Places:
+    """How a position is kept and compared: as one number where ids and lengths allow, else as a pair."""
+
+    def __init__(self, docs: DataFrame):
+        most = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text"))).first()
+        bits = int(most[2] or 0).bit_length() + 1
+        fits = isinstance(most[0], int) and most[0] >= 0 and most[1] < 1 << (63 - bits)
+        self.bits, self.kind = bits if fits else None, docs.schema["doc_id"].dataType
+
+    def of(self, doc_id: str = "doc_id", at: str = "at") -> Column:
+        return F.struct(doc_id, at) if self.bits is None else F.shiftleft(F.col(doc_id).cast("long"), self.bits) + F.col(at)
+
+    def parts(self, place: str) -> tuple[Column, Column]:
+        if self.bits is None:
+            return F.col(f"{place}.doc_id"), F.col(f"{place}.at")
+        return F.shiftright(place, self.bits).cast(self.kind), F.col(place).bitwiseAND(F.lit((1 << self.bits) - 1))
+
+
+def _listed(places: DataFrame) -> DataFrame:
+    """(doc_id, places) of (doc_id, at, bytes)."""
+    return places.groupBy("doc_id").agg(F.collect_list(F.struct("at", "bytes")).alias("places"))
 
 
 def repeated_places(docs: DataFrame) -> DataFrame:
-    """(doc_id, places): for each document with repeated bytes its (offset, bytes) pieces; pieces may overlap."""
+    """(doc_id, places): documents with repeated bytes and their (offset, bytes) pieces; pieces may overlap, and a document may have several rows."""
     docs = docs.select("doc_id", "text").where("doc_id is not null and octet_length(text) >= %d" % LENGTH)
-    place = _place(docs)
+    place = Places(docs)
     grams = stored(_counted(docs))
-    grams = F.broadcast(grams) if grams.count() <= SENT_GRAMS else grams
-    ats = _sampled(docs).join(grams, "gram", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("ats"))
-    units = stored(_units(docs.join(ats, "doc_id")))
-    firsts = stored(units.select("key", "more", "gram", place().alias("place")).groupBy("key", "more").agg(F.min("place").alias("first"), F.min("gram").alias("gram")))
-    split = firsts.groupBy("gram").count().where("count > 1").select("gram")
-    told = units.withColumn("place", place()).join(firsts.select("key", "more", "first"), ["key", "more"])
-    whole = told.where("place > first").select("doc_id", "at", (F.col("n") + LENGTH - 1).alias("bytes"))
-    single = units.withColumn("place", place()).join(firsts.join(split, "gram").select("key", "more", F.col("first").alias("place")), ["key", "more", "place"])
-    strings = _strings(single).withColumn("place", place())
-    earliest = strings.groupBy("key", "more").agg(F.min("place").alias("first"), F.count("*").alias("n")).where("n > 1")
-    parts = strings.join(earliest, ["key", "more"]).where("place > first").select("doc_id", "at", F.lit(LENGTH).cast("long").alias("bytes"))
-    return whole.union(parts).groupBy("doc_id").agg(F.collect_list(F.struct("at", "bytes")).alias("places"))
+    sent = _sent(grams, "gram")
+    if sent is not None:
+        texts = docs
+    else:
+        texts = docs.join(_sampled(docs).join(grams, "gram", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "doc_id")
+    units = stored(_units(texts, sent).select("key", "more", "gram", "n", place.of().alias("place")))
+    discard(grams)
+    firsts = stored(units.groupBy("key", "more").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.min("gram").alias("gram"), F.count("*").alias("copies")))
+    doc_id, at = place.parts("place")
+    told = units.join(firsts.where("copies > 1").select("key", "more", "first"), ["key", "more"]).where("place > first")
+    whole = stored(_listed(told.select(doc_id.alias("doc_id"), at.alias("at"), (F.col("n") + LENGTH - 1).cast("long").alias("bytes"))))
+    discard(units)
+
+    split = firsts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
+    doc_id, at = place.parts("first")
+    single = firsts.join(split, "gram", "left_semi").select(doc_id.alias("doc_id"), at.alias("at"), "n")
+    single = stored(single.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("units")))
+    discard(firsts)
+    texts = docs.join(single, "doc_id").select("doc_id", "text", "units")
+    strings = _strings(texts).select("key", "more", place.of().alias("place"))
+    groups = stored(strings.groupBy("key", "more").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).where("n > 1"))
+    doc_id, at = place.parts("last")
+    pairs = groups.where("n = 2 and first < last").select(doc_id.alias("doc_id"), at.alias("at"))
+    larger = groups.where("n > 2").select("key", "more", "first")
+    doc_id, at = place.parts("place")
+    again = _strings(texts, _sent(larger, "key")).select("key", "more", place.of().alias("place")).join(larger, ["key", "more"]).where("place > first")
+    parts = pairs.union(again.select(doc_id.alias("doc_id"), at.alias("at"))).withColumn("bytes", F.lit(LENGTH).cast("long"))
+    return whole.union(_listed(parts))
 
 
 def _kept(text: str | None, places) -> tuple[bytes, list[tuple[int, int]]]:
@@ -226,7 +273,7 @@ def _kept(text: str | None, places) -> tuple[bytes, list[tuple[int, int]]]:
 
 def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``columns`` of every document, its n_bytes, the kept bytes and the spans (offset, end) removed."""
-    places = stored(repeated_places(docs)).withColumnRenamed("doc_id", "_of")
+    places = stored(repeated_places(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.flatten(F.collect_list("places")).alias("places")))
     x = docs.select(*columns, F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(places, F.col("_id") == F.col("_of"), "left").select(*columns, "_text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

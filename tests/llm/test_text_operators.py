@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from ratelake.llm import queries
+from ratelake.llm import queries, suffix_dedup
 from ratelake.llm.decontamination import contamination_digest, find_contamination
 from ratelake.llm.mixing import mix_sources, take_mix
 from ratelake.llm.near_dedup import near_duplicate_digest
@@ -148,7 +148,9 @@ def test_repeats_equal_a_scan_in_order(which, request):
     assert found == repeats([tuple(r) for r in docs.collect()])
 
 
-def test_repeats_of_random_pieces(spark):
+@pytest.mark.parametrize("sent", [6_000_000, 10])
+def test_repeats_of_random_pieces(spark, monkeypatch, sent):
+    monkeypatch.setattr(suffix_dedup, "SENT_KEYS", sent)
     rng = random.Random(5)
     pieces = ["".join(rng.choice("abcé ") for _ in range(rng.choice([30, 70, 99, 100, 101, 150, 400]))) for _ in range(25)]
     texts = ["".join(rng.choice(pieces) + rng.choice(["", "x"]) for _ in range(rng.randint(1, 6))) for _ in range(150)] + ["ab" * 400, "a" * 99, "a" * 100, "a" * 101, pieces[0] * 9]
