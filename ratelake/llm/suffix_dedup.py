@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -257,18 +258,25 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     return whole.union(_listed(parts))
 
 
-def _kept(text: str | None, places) -> tuple[bytes, list[tuple[int, int]]]:
-    """What is left of a text, and the maximal runs of bytes that are not."""
-    raw = (text or "").encode()
-    if places is None or not len(places):
-        return raw, []
-    depth = np.zeros(len(raw) + 1, np.int64)
-    at = np.array([[p["at"], p["at"] + p["bytes"]] for p in places])
-    np.add.at(depth, np.minimum(at[:, 0], len(raw)), 1)
-    np.add.at(depth, np.minimum(at[:, 1], len(raw)), -1)
+def _kept(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """What is left of the texts, and the maximal runs of bytes that are not; a piece is ``size`` bytes from ``at`` of text ``row``."""
+    depth = np.zeros(len(data) + 1, np.int64)
+    begin = np.minimum(offsets[row] + at, offsets[row + 1])
+    np.add.at(depth, begin, 1)
+    np.add.at(depth, np.minimum(begin + size, offsets[row + 1]), -1)
     gone = np.cumsum(depth)[:-1] > 0
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-    return np.frombuffer(raw, np.uint8)[~gone].tobytes(), list(zip(edges[::2], edges[1::2]))
+    kept = np.concatenate([[0], np.cumsum(~gone)])
+    left = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(kept[offsets].astype(np.int32)), pa.py_buffer(data[~gone])])
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    begins, ends = gone.copy(), gone.copy()
+    begins[1:] &= ~gone[:-1] | edge[1:-1]
+    ends[:-1] &= ~gone[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    of = np.searchsorted(first, offsets)
+    base = np.repeat(offsets[:-1], np.diff(of))
+    spans = pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], ["begin", "end"])
+    return left, pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), spans)
 
 
 def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -277,11 +285,12 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> D
     x = docs.select(*columns, F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(places, F.col("_id") == F.col("_of"), "left").select(*columns, "_text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(len(columns)).to_pylist()
-            found = [_kept(t, p) for t, p in zip(texts, batch.column(len(columns) + 1).to_pylist())]
-            spans = pa.array([[{"begin": a, "end": b} for a, b in s] for _, s in found], pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array([len((t or "").encode()) for t in texts], pa.int64()), pa.array([k for k, _ in found], pa.binary()), spans], [*columns, "n_bytes", "kept", "spans"])
+        for part, data, offsets in slices(batches, "_text"):
+            lists = part.column(len(columns) + 1)
+            pieces = lists.flatten()
+            row = np.repeat(np.arange(part.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+            kept, spans = _kept(data, offsets, row, pieces.field(0).to_numpy(), pieces.field(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(offsets)), kept, spans], [*columns, "n_bytes", "kept", "spans"])
 
     span = T.ArrayType(T.StructType([_long("begin"), _long("end")]))
     out = T.StructType([*(docs.schema[c] for c in columns), _long("n_bytes"), T.StructField("kept", T.BinaryType()), T.StructField("spans", span)])
