@@ -2,10 +2,11 @@
 
 1. Every text becomes its set of hashed five-word shingles and a signature of minima under ``HASHES`` hash functions.
    Texts with equal sets are one class from here on, so copies, however many, cost one member.
-2. Signatures are cut into bands; classes that share a band are candidates. In a first round every class of a bucket
-   is paired with the bucket's smallest alone. In a second round, classes that then are not in the component of their
-   bucket's smallest are paired with the rest of the bucket. So every pair of a bucket is either compared or already in
-   one component, and a bucket of thousands of copies makes as many pairs as it has members.
+2. Signatures are cut into bands; classes that share a band are candidates. In each of ``PIVOTS`` rounds every class of
+   a bucket is paired with one pivot alone, unless both are in one component by then: the class that shares buckets with
+   the most others, of those not yet in an earlier pivot's component. In a last round, classes that still are not in the
+   component of their bucket's first pivot are paired with the rest of the bucket. So every pair of a bucket is either
+   compared or already in one component, and a bucket of thousands of copies makes a few times as many pairs as members.
 3. A pair's signatures are compared in batches. After each batch the posterior of the similarity (uniform prior) is
    looked at; the pair goes as soon as the chance of reaching the threshold is below ``MISS``.
 4. Survivors are verified on the full sets of both texts; verified pairs are links, and components are found by
@@ -32,7 +33,7 @@ from ratelake.llm.arrow_text import slices
 from ratelake.llm.shared_store import stored
 
 SHINGLE, PERCENT = 5, 75
-HASHES, BANDS, BATCH, MISS = 128, 32, 32, 1e-6
+HASHES, BANDS, BATCH, MISS, PIVOTS = 128, 32, 32, 1e-6, 4
 #: A set of ids up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
 SENT_IDS = 2_000_000
 
@@ -184,6 +185,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels.withColumnRenamed("label", "component")
 
 
+def _pairs(x: DataFrame, one: str, other: str) -> DataFrame:
+    return x.select(F.greatest(one, other).alias("a"), F.least(one, other).alias("b")).distinct()
+
+
+def _met(known: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of buckets with their components, whether those are a pivot's so far, and the bucket's first pivot."""
+    names = found.withColumnsRenamed({"id": "_id", "component": "_of"})
+    new = known.join(names, known["id"] == names["_id"], "left").select("band", "id", "degree", F.coalesce("_of", "of").alias("of"), "met", "first")
+    named = pivots.join(names, pivots["pivot"] == names["_id"], "left").select("band", "pivot", F.coalesce("_of", "pivot").alias("pivot_in"))
+    return new.join(named, "band", "left").select("band", "id", "degree", "of", (F.col("met") | F.coalesce(F.col("of") == F.col("pivot_in"), F.lit(False))).alias("met"), F.coalesce("first", "pivot").alias("first"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document.
 
@@ -198,23 +211,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = HASHES // BANDS * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * rows + 1, F.lit(rows))))
     banded = members.select("id", F.explode(bands).alias("band"))
-    least = banded.groupBy("band").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    banded = stored(banded.join(least, "band").select("band", "id", "first", "n"))
-    links = stored(_verify(stored(_prune(banded.where("id <> first").select(F.col("id").alias("a"), F.col("first").alias("b")).distinct(), members)), texts))
-    found = components(links)
-    # Second round: only who is not in the component of the bucket's smallest meets the rest of the bucket.
-    name = lambda k: found.select(F.col("id").alias(k), F.col("component").alias(f"{k}_in"))
-    known = banded.where("n > 2 and id <> first").join(name("id"), "id", "left").join(name("first"), "first", "left")
-    known = stored(known.select("band", "id", F.coalesce("id_in", "id").alias("of"), F.coalesce("first_in", "first").alias("first_of")))
-    apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), "first_of")
-    rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"))
-    # Two that both stand apart come once.
-    more = apart.join(rest, "band").where("a_of <> b_of and (b_of = first_of or a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    more = stored(_prune(more, members))
-    if more.limit(1).count():
-        more = stored(_verify(more, texts))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    banded = stored(banded.join(shared, "band"))
+    degrees = banded.groupBy("id").agg(F.sum("n").alias("degree"))
+    known = stored(banded.join(degrees, "id").select("band", "id", "degree", F.col("id").alias("of"), F.lit(False).alias("met"), F.lit(None).cast(members.schema["id"].dataType).alias("first")))
+    links = found = None
+    for _ in range(PIVOTS):
+        pivots = known.where("not met").groupBy("band").agg(F.max_by(F.struct("id", "of"), F.struct("degree", "id")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.of").alias("pivot_of"))
+        pivots = stored(pivots)
+        pairs = stored(_pairs(known.join(pivots, "band").where("of <> pivot_of"), "id", "pivot"))
+        if not pairs.limit(1).count():
+            break
+        new = _verify(stored(_prune(pairs, members)), texts)
+        links = stored(new if links is None else links.union(new))
+        found = components(links)
+        known = stored(_met(known, pivots, found))
+    if found is not None:
+        # Only who is not in the component of the bucket's first pivot meets the rest of the bucket.
+        name = found.select(F.col("id").alias("first"), F.col("component").alias("first_in"))
+        known = stored(known.join(name, "first", "left").select("band", "id", "of", F.coalesce("first_in", "first").alias("first_of")))
+        apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), "first_of")
+        rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"))
+        # Two that both stand apart come once.
+        more = stored(_prune(_pairs(apart.join(rest, "band").where("a_of <> b_of and (b_of = first_of or a < b)"), "a", "b"), members))
         if more.limit(1).count():
-            found = components(stored(links.union(more)))
+            more = stored(_verify(more, texts))
+            if more.limit(1).count():
+                found = components(stored(links.union(more)))
+    else:
+        found = members.select("id", F.col("id").alias("component")).limit(0)
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
     return signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
