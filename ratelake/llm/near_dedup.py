@@ -5,8 +5,10 @@
 2. Signatures are cut into bands; classes that share a band are candidates. In each of ``PIVOTS`` rounds every class of
    a bucket is paired with one pivot alone, unless both are in one component by then: the class that shares buckets with
    the most others, of those not yet in an earlier pivot's component. In a last round, classes that still are not in the
-   component of their bucket's first pivot are paired with the rest of the bucket. So every pair of a bucket is either
-   compared or already in one component, and a bucket of thousands of copies makes a few times as many pairs as members.
+   component of their bucket's first pivot are paired with those of the rest of the bucket whose sizes permit a link. A
+   class's private shingles, that no other class of these buckets has, bound the size of its partners exactly. So every
+   pair of a bucket is compared, cannot be a link, or is already in one component, and a bucket of thousands of copies
+   makes a few times as many pairs as members.
 3. A pair's signatures are compared in batches. After each batch the posterior of the similarity (uniform prior) is
    looked at; the pair goes as soon as the chance of reaching the threshold is below ``MISS``.
 4. Survivors are verified on the full sets of both texts; verified pairs are links, and components are found by
@@ -25,7 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,6 +38,8 @@ SHINGLE, PERCENT = 5, 75
 HASHES, BANDS, BATCH, MISS, PIVOTS = 128, 32, 32, 1e-6, 4
 #: A set of ids up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
 SENT_IDS = 2_000_000
+#: Bins of set sizes to a factor e.
+SIZE_BINS = 24
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -197,6 +201,44 @@ def _met(known: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
     return new.join(named, "band", "left").select("band", "id", "degree", "of", (F.col("met") | F.coalesce(F.col("of") == F.col("pivot_in"), F.lit(False))).alias("met"), F.coalesce("first", "pivot").alias("first"))
 
 
+def _reach(ids: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, least, most, reach) of the ids that may link at all: size of the set, and that of the largest set it may link to among ``ids``.
+
+    Of n shingles p may stand in no other set; then at most n - p are common with a set of m, so that PERCENT needs
+    (100 + PERCENT) * (n - p) >= PERCENT * (n + m). For ids of several texts p counts as 0.
+    """
+    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, offsets in slices(batches):
+            sets = shingle_sets(data, offsets)
+            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["id", "shingle"])
+
+    shingles = texts.join(few, "id", "left_semi").mapInArrow(run, T.StructType([ids.schema["id"], T.StructField("shingle", T.LongType())]))
+    private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("private"))
+    known = sizes.join(few, "id", "left_semi").join(private, "id", "left")
+    one = F.expr(f"((100 + {PERCENT}) * (least - coalesce(private, 0)) - {PERCENT} * least) div {PERCENT}")
+    known = known.withColumn("reach", F.when(F.col("texts") == 1, one).otherwise(F.expr(f"100 * most div {PERCENT}")))
+    return known.where(f"100 * reach >= {PERCENT} * least").select("id", "least", "most", "reach")
+
+
+def _bin(n: Column) -> Column:
+    return F.floor(F.log(F.greatest(n, F.lit(1))) * SIZE_BINS)
+
+
+def _fitting(known: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a bucket, one of them not in the component of the bucket's first pivot, whose sizes permit a link."""
+    open_ = known.where("of <> first_of").select("band").distinct()
+    known = stored(known.join(open_, "band", "left_semi"))
+    reach = stored(_reach(known.select("id").distinct(), sizes, texts))
+    known = known.join(reach, "id")
+    apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), F.col("least").alias("a_least"), F.col("reach").alias("a_reach"), F.explode(F.sequence(_bin(F.ceil(F.col("least") * PERCENT / 100)), _bin(F.col("reach")))).alias("bin"))
+    rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"), "first_of", F.col("least").alias("b_least"), F.col("reach").alias("b_reach"), F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
+    # Two that both stand apart come once.
+    return _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach"), "a", "b")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document.
 
@@ -230,10 +272,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         # Only who is not in the component of the bucket's first pivot meets the rest of the bucket.
         name = found.select(F.col("id").alias("first"), F.col("component").alias("first_in"))
         known = stored(known.join(name, "first", "left").select("band", "id", "of", F.coalesce("first_in", "first").alias("first_of")))
-        apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), "first_of")
-        rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"))
-        # Two that both stand apart come once.
-        more = stored(_prune(_pairs(apart.join(rest, "band").where("a_of <> b_of and (b_of = first_of or a < b)"), "a", "b"), members))
+        sizes = signed.where("n_shingles > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.countDistinct("set_key").alias("texts"))
+        more = stored(_prune(_fitting(known, sizes, texts), members))
         if more.limit(1).count():
             more = stored(_verify(more, texts))
             if more.limit(1).count():
