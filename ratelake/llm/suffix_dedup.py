@@ -21,6 +21,7 @@ document with several texts, from each of which the bytes at their common repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,8 @@ SENT_KEYS = 6_000_000
 _rng = np.random.default_rng(977)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 _STEP = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
+_BASE = _rng.integers(1, 1 << 60, dtype=np.uint64) * np.uint64(8) + np.uint64(5)
+_BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BELOW = np.uint64((1 << 64) // EVERY)
 _TOP = np.uint64(0xFFFFFFFF00000000)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -55,16 +58,33 @@ def _joined(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
     return x
 
 
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """_BASE and its inverse modulo 2**64 to the powers below n."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, _BACK))
+
+
 def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the GRAM and of the LENGTH bytes from each position; only those that lie in one text mean anything."""
-    ahead = lambda x, n: np.concatenate([x[n:], np.zeros(min(n, len(x)), np.uint64)])
-    h = {1: _BYTE[data]}
-    for k in range(5):
-        h[2 << k] = _joined(h[1 << k], ahead(h[1 << k], 1 << k), k)
-        if k != 2:
-            del h[1 << k]
-    long = _joined(_joined(h[32], ahead(h[32], 32), 5), _joined(ahead(h[32], 64), ahead(h[4], 96), 6), 7)
-    return h[32], long
+    """Hash of the GRAM and of the LENGTH bytes from each position; only those that lie in one text mean anything.
+
+    A window is the difference of two prefix sums of random byte values times powers of _BASE, taken back to power 0 and mixed.
+    """
+    n = len(data)
+    up, down = _powers(1 << max(20, n.bit_length()))
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(np.take(_BYTE, data) * up[:n], out=sums[1:])
+
+    def windows(size: int, k: int) -> np.ndarray:
+        out = np.zeros(n, np.uint64)
+        x = out[: max(0, n - size + 1)]
+        np.subtract(sums[size:], sums[: len(x)], out=x)
+        x *= down[: len(x)]
+        x ^= x >> np.uint64(32)
+        x *= _STEP[k]
+        x ^= x >> np.uint64(29)
+        return out
+
+    return windows(GRAM, 0), windows(LENGTH, 1)
 
 
 class Sampled:
@@ -86,7 +106,9 @@ class Sampled:
             ranked[: n - rest] = np.minimum(ranked[: n - rest], ranked[rest:])
         self.anchor = (ranked & ~_TOP).astype(np.int64)
         self.anchor[~self.holds] = -1
-        self.positions = np.union1d(np.flatnonzero(self.sampled), np.unique(self.anchor[self.holds])) if self.holds.any() else np.flatnonzero(self.sampled)
+        needed = self.sampled.copy()
+        needed[self.anchor[self.holds]] = True
+        self.positions = np.flatnonzero(needed)
 
     def units(self, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First positions of the units and their numbers of strings; kept: flags of the positions whose gram is repeated."""
