@@ -46,8 +46,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Bytes of a character that is cut apart go as a whole.
     """
     columns = tuple(docs.columns)
-    left = remove_repeats(docs, columns)
-    whole = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
+    left = remove_repeats(docs, columns, characters=True)
+    whole = F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
     left = left.where("size(spans) = 0 or octet_length(kept) > 0").withColumn("text", whole)
     return left.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)).select(*columns)
 

@@ -280,13 +280,19 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     return whole.union(_listed(parts))
 
 
-def _kept(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """What is left of the texts, and the maximal runs of bytes that are not; a piece is ``size`` bytes from ``at`` of text ``row``."""
+def _kept(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray, size: np.ndarray, characters: bool = False) -> tuple[pa.Array, pa.Array]:
+    """What is left of the texts, and the maximal runs of bytes that are not; a piece is ``size`` bytes from ``at`` of text ``row``.
+
+    ``characters``: a character that a run cuts apart goes with it.
+    """
     depth = np.zeros(len(data) + 1, np.int64)
     begin = np.minimum(offsets[row] + at, offsets[row + 1])
     np.add.at(depth, begin, 1)
     np.add.at(depth, np.minimum(begin + size, offsets[row + 1]), -1)
     gone = np.cumsum(depth)[:-1] > 0
+    if characters and len(data):
+        lead = (data & 0xC0) != 0x80
+        gone = np.repeat(np.logical_or.reduceat(gone, np.flatnonzero(lead)), np.diff(np.append(np.flatnonzero(lead), len(data))))
     kept = np.concatenate([[0], np.cumsum(~gone)])
     left = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(kept[offsets].astype(np.int32)), pa.py_buffer(data[~gone])])
     edge = np.zeros(len(data) + 1, bool)
@@ -301,8 +307,11 @@ def _kept(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray
     return left, pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), spans)
 
 
-def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``columns`` of every document, its n_bytes, the kept bytes and the spans (offset, end) removed."""
+def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), characters: bool = False) -> DataFrame:
+    """``columns`` of every document, its n_bytes, the kept bytes and the spans (offset, end) removed.
+
+    ``characters``: spans are widened to the borders of characters, so that the kept bytes are UTF-8.
+    """
     places = stored(repeated_places(docs).groupBy(F.col("doc_id").alias("_of")).agg(F.flatten(F.collect_list("places")).alias("places")))
     x = docs.select(*columns, F.col("doc_id").alias("_id"), F.col("text").alias("_text")).join(places, F.col("_id") == F.col("_of"), "left").select(*columns, "_text", "places")
 
@@ -311,7 +320,7 @@ def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",)) -> D
             lists = part.column(len(columns) + 1)
             pieces = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy())
-            kept, spans = _kept(data, offsets, row, pieces.field(0).to_numpy(), pieces.field(1).to_numpy())
+            kept, spans = _kept(data, offsets, row, pieces.field(0).to_numpy(), pieces.field(1).to_numpy(), characters)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(np.diff(offsets)), kept, spans], [*columns, "n_bytes", "kept", "spans"])
 
     span = T.ArrayType(T.StructType([_long("begin"), _long("end")]))

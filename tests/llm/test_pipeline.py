@@ -78,3 +78,12 @@ def test_awkward_documents(spark, sf_dir):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf_dir))
     assert {r["doc_id"] for r in docs.collect()} >= {3, None, 5}
+
+
+def test_characters_cut_by_a_repeated_passage_go_as_a_whole(spark, sf_dir):
+    passage = " ".join(f"w{k}" for k in range(60))
+    # Both runs share the second byte before the passage and the first one after it; the remains of ũ and è would make a Ũ.
+    rows = [(1, f"a é{passage}é end"), (2, f"� ũ{passage}è fin")]
+    docs = spark.createDataFrame([(i, t, "fr", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.suffix_dedup_stage(spark, docs, sf_dir).collect()}
+    assert found == {1: (rows[0][1], len(rows[0][1])), 2: ("�  fin", 6)}
