@@ -6,7 +6,7 @@ Every stage judges whatever rows it gets: null texts have no language and go wit
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.llm.decontamination import find_contamination
@@ -20,9 +20,20 @@ from ratelake.llm.suffix_dedup import remove_repeats
 LEAST_LANGUAGE = 0.3
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id is not among ``ids`` (column doc_id); a null id stays."""
-    return docs.join(ids.select(F.col("doc_id").alias("_gone")).distinct(), F.col("doc_id") == F.col("_gone"), "left_anti")
+def _text_key() -> Column:
+    """With the id, what a row is known by: rows that share an id are judged one by one, and equal rows alike."""
+    return F.unhex(F.md5("text"))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """doc_id, as a pair of id and text key, and text of every row."""
+    return docs.select(F.struct("doc_id", _text_key().alias("text_key")).alias("doc_id"), "text")
+
+
+def _without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Documents that are not among ``rows`` (columns doc_id and text_key); a null id stays."""
+    gone = rows.select(F.col("doc_id").alias("_gone"), F.col("text_key").alias("_gone_key")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & _text_key().eqNullSafe(F.col("_gone_key")), "left_anti")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +41,13 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = fit(docs.where(~held_out(4, 2)))
     if not model.languages:
         return docs
-    found = identify(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE)))
+    found = identify(_judged(docs), model)
+    return _without(docs, found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < LEAST_LANGUAGE)).select("doc_id.*"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id."""
-    found = near_duplicates(docs)
+    found = near_duplicates(docs.select("doc_id", "text", _text_key().alias("text_key")), ("text_key",))
     return _without(docs, found.where("doc_id <> component_id"))
 
 
@@ -54,8 +65,8 @@ def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of the benchmark stands."""
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("size(spans) > 0"))
+    found = find_contamination(_judged(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(docs, found.where("size(spans) > 0").select("doc_id.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -123,16 +123,16 @@ def least_matches(n: int, percent: int = PERCENT, miss: float = MISS) -> int:
     return n
 
 
-def _sign(docs: DataFrame) -> DataFrame:
+def _sign(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
             sets = shingle_sets(data, offsets)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             minima = pa.array([row.tobytes() if len(s) else None for s, row in zip(sets, signatures(sets))], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), minima], ["doc_id", "n_shingles", "set_key", "minima"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[2:], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), minima], out.names)
 
-    out = T.StructType([docs.schema["doc_id"], T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("minima", T.BinaryType())])
-    return docs.select("doc_id", "text").mapInArrow(run, out)
+    out = T.StructType([docs.schema["doc_id"], *(docs.schema[c] for c in columns), T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("minima", T.BinaryType())])
+    return docs.select("doc_id", "text", *columns).mapInArrow(run, out)
 
 
 def _prune(pairs: DataFrame, minima: DataFrame) -> DataFrame:
@@ -153,7 +153,7 @@ def _prune(pairs: DataFrame, minima: DataFrame) -> DataFrame:
 
 
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs whose full sets reach the threshold. ``pairs`` is stored; ``texts`` has id and text."""
+    """Pairs whose full sets reach the threshold. ``pairs`` is stored; ``texts`` has id and text, which is not null."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     texts = texts.join(ids, "id", "left_semi")
@@ -165,7 +165,7 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 texts = [batch.column(k)[i].as_py().encode() for k in (2, 3)]
                 x, y = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])]))
                 both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+                keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
@@ -239,17 +239,17 @@ def _fitting(known: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     return _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach"), "a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id (smallest doc_id that links reach) of every document.
+def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``columns``, n_shingles and component_id (smallest doc_id that links reach) of every document.
 
     Links join documents whose sets of five-word shingles have at least three quarters of their union in common. A row without doc_id
     belongs to the class of its set, if another row has one; rows that share a doc_id are one node with several texts.
     """
-    signed = stored(_sign(docs))
+    signed = stored(_sign(docs, columns))
     classes = stored(signed.where("n_shingles > 0 and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("id")))
     members = signed.select("doc_id", "set_key", "minima").join(classes, ["set_key"]).where("doc_id = id")
     members = stored(members.groupBy("id", "set_key").agg(F.min("minima").alias("minima")))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").alias("id"), "text").where("text is not null")
     rows = HASHES // BANDS * 4
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("minima", k * rows + 1, F.lit(rows))))
     banded = members.select("id", F.explode(bands).alias("band"))
@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     else:
         found = members.select("id", F.col("id").alias("component")).limit(0)
     named = classes.join(found, "id", "left").select("set_key", F.coalesce("component", "id").alias("component"))
-    return signed.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return signed.select("doc_id", *columns, "n_shingles", "set_key").join(named, "set_key", "left").select("doc_id", *columns, "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_duplicate_digest(docs: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import corpus_pipeline
 from test_text_operators import contamination, shingles
 
+from ratelake.llm.near_dedup import near_duplicate_digest
 from ratelake.llm.shared_store import stored
 
 
@@ -87,3 +88,20 @@ def test_characters_cut_by_a_repeated_passage_go_as_a_whole(spark, sf_dir):
     docs = spark.createDataFrame([(i, t, "fr", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.suffix_dedup_stage(spark, docs, sf_dir).collect()}
     assert found == {1: (rows[0][1], len(rows[0][1])), 2: ("�  fin", 6)}
+
+
+def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
+    rng = random.Random(9)
+    base = " ".join(f"word{rng.randint(0, 400)}" for _ in range(80))
+    rows = [(1, base, "en"), (2, base + " more", "en"), (2, None, "en"), (2, "", "en"), (3, base[:300], "en"), (3, "", "en"), (4, "clean words of its own", "en"), (4, None, "en"), (5, None, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "a", 1) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    found = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in near_duplicate_digest(docs).collect()}
+    assert found[1, 76] == 1 and found[2, 77] == 1 and found[2, 0] == 2 and {c for (i, _), c in found.items() if i == 3} == {3}
+    steps = dict(corpus_pipeline.STAGES)
+    kept = Counter((r["doc_id"], r["text"]) for r in steps["near_dedup"](spark, docs, sf_dir).collect())
+    assert kept == Counter((i, t) for i, t, _ in rows if t != base + " more")
+    kept = Counter((r["doc_id"], r["text"]) for r in steps["language_id"](spark, docs, sf_dir).collect())
+    assert kept == Counter((i, t) for i, t, _ in rows if t)
+    item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
+    docs = spark.createDataFrame([(1, item, "en", "a", 1), (1, "clean", "en", "a", 1)], docs.schema)
+    assert [r["text"] for r in steps["decontamination"](spark, docs, sf_dir).collect()] == ["clean"]
