@@ -1,4 +1,4 @@
-"""URL filter: rules on host and path, and for all other urls a ratio of two character Markov models.
+"""URL filter: rules on host and path, and for all other urls a ratio of two character Markov models of the whole url.
 
 Urls that a rule allows or blocks are the accepted and rejected examples. Each class gets a variable-order model of
 characters: counts of contexts of two, one and no characters, smoothed by Witten-Bell weights, so that a longer context
@@ -8,7 +8,8 @@ both classes' examples calibrate it (two normal densities with one variance, so
 Characters are folded to 42 symbols, so a model is one array of 42^3 numbers whatever the corpus: that bound is
 what makes it fit to go to every task as a scalar. All steps are DataFrame functions.
 
-A null url or one without ``://`` has empty host and path, and no rule. Where a class has no example or the scores don't
+A null url or one without ``://`` has empty host and path, and no rule; the model judges the latter by its characters like
+any other. Where a class has no example or the scores don't
 differ, what no rule decides is allowed. Repeated rows are judged row by row; other columns are ignored.
 """
 
@@ -110,9 +111,9 @@ def _score(codes: str, model: str) -> Column:
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, score and p_block of every page's url."""
     host, path = host_and_path(F.col("url"))
-    x = pages.select("page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    x = pages.select("page_id", "url").select("page_id", "url", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    x = x.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), symbols(F.concat("host", "path")).alias("codes"))
+    x = x.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), symbols(F.coalesce("url", F.lit(""))).alias("codes"))
     examples = x.where("ruled is not null").select((F.col("ruled") == "allow").alias("accepted"), "codes")
     model = train_ratio_model(examples)
     side = lambda f, yes: f(F.when(F.col("accepted") == yes, F.col("score")))

@@ -292,6 +292,14 @@ def test_url_rules(spark, sf_dir):
     assert verdicts[True, "allow"] and verdicts[True, "block"]
 
 
+def test_urls_are_judged_by_all_their_characters(spark):
+    allowed, blocked = [f"http://www.example.com/en/{k}?id={k}&page=read#top" for k in range(40)], [f"http://x.net/fr/{k}?bet=casino&spin={k}#jackpot" for k in range(40)]
+    new = ["http://other.org/a?page=read#top", "http://other.org/a?bet=casino#jackpot", "www.other.org?page=read#top", "www.other.org?bet=casino#jackpot"]
+    pages = spark.createDataFrame(list(enumerate(new + allowed + blocked)), "page_id long, url string")
+    found = {r["page_id"]: r["verdict"] for r in queries.judge_urls(pages).collect()}
+    assert [found[k] for k in range(4)] == ["allow", "block", "allow", "block"]
+
+
 def test_empty_tables(spark):
     e = empty(spark)
     items = spark.createDataFrame([], "item_id long, text string")
