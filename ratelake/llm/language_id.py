@@ -22,6 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,8 @@ UNDETERMINED = "und"
 FEATURES, LEXICON, CHUNK = 1 << 16, 1 << 17, 32
 #: Training texts of a language are sampled down to about so many bytes for the weights. The lexicon counts all texts.
 SAMPLE_BYTES = 150_000
+#: A sampled text gives at most about so many bytes, in so many pieces from all over it, so that many texts fit in a sample.
+TEXT_BYTES, PIECES = 6_000, 3
 
 _C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
 _tables: list[np.ndarray] = []
@@ -224,14 +227,36 @@ def _switched(words: Words, langs: np.ndarray, rng: np.random.Generator) -> tupl
     return order, of[order], is_first
 
 
+def _sample(labelled: DataFrame, sample_bytes: int) -> list[tuple[str, str, str]]:
+    """(doc_id as string, text, lang) of texts in the order of a hash, until a language has ``sample_bytes``; the last may go beyond by its own pieces.
+
+    Of a text longer than TEXT_BYTES, PIECES pieces of equal length stand for it, each from a place of its own part of the
+    text. Rows are first thinned by a hash to about twice what is needed, but for the row with a language's least hash.
+    """
+    size = F.octet_length("text")
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit("crf")), F.lit(1 << 30)) / float(1 << 30)
+    x = labelled.withColumn("unit", unit)
+    totals = x.groupBy("lang").agg(F.sum(F.least(size, F.lit(TEXT_BYTES))).alias("bytes"), F.min("unit").alias("least"))
+    cuts = {r["lang"]: max(r["least"], 2 * sample_bytes / max(1, r["bytes"])) for r in totals.collect()}
+    cut = F.element_at(F.create_map(*(F.lit(v) for lang, c in cuts.items() for v in (lang, float(c)))), F.col("lang"))
+    part = F.length("text") / PIECES
+    piece = F.floor(part * TEXT_BYTES / size).cast("int")
+    begin = lambda k: (F.floor(k * part + F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 20)) / float(1 << 20) * (part - piece)) + 1).cast("int")
+    pieces = F.when(size <= TEXT_BYTES, F.array("text")).otherwise(F.array(*(F.substring(F.col("text"), begin(k), piece) for k in range(PIECES))))
+    x = x.where(F.col("unit") <= cut).select("lang", "unit", F.col("doc_id").cast("string").alias("name"), pieces.alias("pieces"))
+    own = F.aggregate("pieces", F.lit(0).cast("long"), lambda n, t: n + F.octet_length(t))
+    before = F.sum(own).over(W.partitionBy("lang").orderBy("unit", "name", "pieces").rowsBetween(W.unboundedPreceding, -1))
+    x = x.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_bytes)
+    return sorted(((r["name"] or "", t, r["lang"]) for r in x.select("name", "pieces", "lang").collect() for t in r["pieces"]))
+
+
 def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, epochs: int = 8) -> Model:
-    """Learn from ``labelled`` (doc_id, text, lang); rows with a null in text or lang teach nothing.
+    """Learn from ``labelled`` (doc_id, text, lang); rows with a null in text or lang, or an empty text, teach nothing.
 
-    The lexicon is counted over all rows. Weights are learned on whole texts sampled by a hash of doc_id, about ``sample_bytes`` of each language.
+    The lexicon is counted over all rows. Weights are learned on a sample of about ``sample_bytes`` of each language, in which every language has texts.
     """
-    labelled = labelled.select("doc_id", "text", "lang").where("text is not null and lang is not null")
-    sizes = {r[0]: r[1] or 0 for r in labelled.groupBy("lang").agg(F.sum(F.octet_length("text"))).collect()}
-    languages = sorted(sizes)
+    labelled = labelled.select("doc_id", "text", "lang").where("text <> '' and lang is not null")
+    languages = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     k = len(languages)
     if not k:
         return Model([], np.zeros((FEATURES, 0)), np.zeros((LEXICON, 0)), 0.0, np.zeros((0, 0)), np.zeros(0))
@@ -241,9 +266,7 @@ def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, epochs: int = 8)
     lexicon = np.log((lexicon + 0.1) / (lexicon.sum(0) + 0.1 * LEXICON) * 1e6)
     lexicon = np.clip(lexicon - lexicon.mean(1, keepdims=True), -6, 6).astype(np.float32)
 
-    share = F.element_at(F.create_map(*(F.lit(x) for lang in languages for x in (lang, min(1.0, sample_bytes / max(1, sizes[lang]))))), F.col("lang"))
-    unit = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("crf")), F.lit(1 << 30)) / float(1 << 30)
-    rows = sorted(labelled.where(unit < share).select("doc_id", "text", "lang").collect(), key=lambda r: (str(r[0]), r[1], r[2]))
+    rows = _sample(labelled, sample_bytes)
     raw = [r[1].encode() for r in rows]
     words = find_words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     model = Model(languages, np.zeros((FEATURES, k)), lexicon, 0.3, np.zeros((k, k)), np.zeros(k))

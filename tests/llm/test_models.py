@@ -36,6 +36,22 @@ def test_language_id_of_awkward_rows(spark):
     assert {r["lang_pred"] for r in li.language_id(spark.createDataFrame([(1, "a", None, "x", 1)], schema)).collect()} == {"und"}
 
 
+def test_each_language_is_sampled_whatever_its_lengths(spark):
+    rng = np.random.default_rng(8)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 8)) for _ in range(n))
+
+    rows = [(k, text("abcdefgh", 10), "aa") for k in range(2000)] + [(9000 + k, text("ijklmnop", 20_000), "bb") for k in range(2)] + [(9500, text("abcdefgh", 20_000), "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    # By its whole texts of 180 KB, bb has 0.02 rows in a sample of 3,000 bytes, and words the lexicon knows tell nothing here.
+    model = li.fit(docs, sample_bytes=3000)
+    found = li.identify(spark.createDataFrame([(k, text("ijklmnop", 20)) for k in range(20)] + [(20 + k, text("abcdefgh", 20)) for k in range(20)], "doc_id long, text string"), model)
+    assert {r["doc_id"] for r in found.where("lang_pred = 'bb'").collect()} == set(range(20))
+    sample = li._sample(docs, 3000)
+    assert all(0 < sum(len(t) for _, t, lang in sample if lang == x) < 3000 + li.TEXT_BYTES for x in ("aa", "bb"))
+
+
 def test_forward_backward_equals_enumeration():
     rng = np.random.default_rng(2)
     lengths, k = [1, 3, 5, 2], 3
