@@ -1,7 +1,8 @@
-"""Removal of repeated passages: buckets of grams, refined by the buckets at later offsets until strings of full length.
+"""Removal of repeated passages: buckets of sampled grams, then hashes of whole strings.
 
-A string of ``LENGTH`` bytes is repeated if it also starts earlier. As in bucket-pointer refinement, positions lie first
-in buckets of their GRAM-byte gram, a bucket with one member is done, and buckets are split further by what follows:
+A string of ``LENGTH`` bytes is repeated if it also starts earlier. Positions lie first in buckets of their GRAM-byte gram
+and a bucket with one member is done, as in bucket-pointer refinement; but what stays open is split by one hash of all
+LENGTH bytes, not in rounds by bucket identifiers at later offsets:
 
 1. Only sampled positions are bucketed: grams with a small hash wherever they stand, and in strings that hold none, the
    gram with the least hash. Each string of LENGTH bytes has a sampled gram that its own bytes determine, its anchor.
