@@ -1,4 +1,4 @@
-"""Streaming twins of the batch bars: windows with watermarks, de-duplication, a throttle."""
+"""Streaming twins of the batch bars: windows with watermarks, de-duplication."""
 
 from __future__ import annotations
 
