@@ -5,10 +5,11 @@
 2. Signatures are cut into bands; classes that share a band are candidates. In each of ``PIVOTS`` rounds every class of
    a bucket is paired with one pivot alone, unless both are in one component by then: the class that shares buckets with
    the most others, of those not yet in an earlier pivot's component. In a last round, classes that still are not in the
-   component of their bucket's first pivot are paired with those of the rest of the bucket whose sizes permit a link. A
-   class's private shingles, that no other class of these buckets has, bound the size of its partners exactly. So every
-   pair of a bucket is compared, cannot be a link, or is already in one component, and a bucket of thousands of copies
-   makes a few times as many pairs as members.
+   component of their bucket's first pivot meet the rest in two ways. Classes that share a rare shingle, one that at
+   most ``RARE`` of them have, are paired by it. Two that share none have at most their other shingles in common, which
+   bounds the sizes that permit a link, exactly; few classes far from the pivot have any partner left. So every pair of a
+   bucket is compared, cannot be a link, or is already in one component, and a bucket of thousands of copies makes a few
+   times as many pairs as members.
 3. A pair's signatures are compared in batches. After each batch the posterior of the similarity (uniform prior) is
    looked at; the pair goes as soon as the chance of reaching the threshold is below ``MISS``.
 4. Survivors are verified on the full sets of both texts; verified pairs are links, and components are found by
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelake.llm.arrow_text import slices
-from ratelake.llm.shared_store import stored
+from ratelake.llm.shared_store import discard, stored
 
 SHINGLE, PERCENT = 5, 75
 HASHES, BANDS, BATCH, MISS, PIVOTS = 128, 32, 32, 1e-6, 4
 #: A set of ids up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
 SENT_IDS = 2_000_000
+#: A shingle that at most so many classes have is rare: pairing those that share it makes few pairs for each.
+RARE = 8
 #: Bins of set sizes to a factor e.
 SIZE_BINS = 24
 
@@ -152,19 +155,27 @@ def _prune(pairs: DataFrame, minima: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def _set_of(text: pa.StringScalar) -> np.ndarray:
+    data = np.frombuffer(text.cast(pa.binary()).as_buffer(), np.uint8)
+    return shingle_sets(data, np.array([0, len(data)]))[0]
+
+
 def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs whose full sets reach the threshold. ``pairs`` is stored; ``texts`` has id and text, which is not null."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
     texts = texts.join(ids, "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            keep, last, y = [], None, None
             for i in range(batch.num_rows):
-                texts = [batch.column(k)[i].as_py().encode() for k in (2, 3)]
-                x, y = shingle_sets(np.frombuffer(b"".join(texts), np.uint8), np.array([0, len(texts[0]), len(texts[0]) + len(texts[1])]))
-                both = len(x) + len(y) - len(np.union1d(x, y))
+                # Pairs come sorted by b, so that a text is cut into its set once for all its pairs.
+                if batch.column(3)[i] != last:
+                    last = batch.column(3)[i]
+                    y = _set_of(last)
+                x = _set_of(batch.column(2)[i])
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(both > 0 and 100 * both >= PERCENT * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
@@ -179,14 +190,14 @@ def components(links: DataFrame) -> DataFrame:
     labels = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
     while True:
         heard = both.join(labels.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").groupBy(F.col("a").alias("id")).agg(F.min("other").alias("other"))
-        new = labels.join(heard, "id").select("id", "label", F.least("label", "other").alias("new"))
-        new = stored(new)
+        new = stored(labels.join(heard, "id").select("id", "label", F.least("label", "other").alias("new")))
         hop = new.select(F.col("id").alias("at"), F.col("new").alias("further"))
-        new = stored(new.join(hop, F.col("new") == F.col("at")).select("id", F.col("further").alias("new"), "label"))
-        changed = new.where("new < label").limit(1).count()
-        labels = new.select("id", F.col("new").alias("label"))
-        if not changed:
-            return labels.withColumnRenamed("label", "component")
+        further = stored(new.join(hop, F.col("new") == F.col("at")).select("id", F.col("further").alias("label"), (F.col("further") < F.col("label")).alias("changed")))
+        discard(labels, new)
+        labels = further
+        if not labels.where("changed").limit(1).count():
+            discard(both)
+            return labels.select("id", F.col("label").alias("component"))
 
 
 def _pairs(x: DataFrame, one: str, other: str) -> DataFrame:
@@ -201,13 +212,8 @@ def _met(known: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
     return new.join(named, "band", "left").select("band", "id", "degree", "of", (F.col("met") | F.coalesce(F.col("of") == F.col("pivot_in"), F.lit(False))).alias("met"), F.coalesce("first", "pivot").alias("first"))
 
 
-def _reach(ids: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, least, most, reach) of the ids that may link at all: size of the set, and that of the largest set it may link to among ``ids``.
-
-    Of n shingles p may stand in no other set; then at most n - p are common with a set of m, so that PERCENT needs
-    (100 + PERCENT) * (n - p) >= PERCENT * (n + m). For ids of several texts p counts as 0.
-    """
-    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+def _shingles(texts: DataFrame) -> DataFrame:
+    """(id, shingle) of every text's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in slices(batches):
@@ -215,12 +221,31 @@ def _reach(ids: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["id", "shingle"])
 
-    shingles = texts.join(few, "id", "left_semi").mapInArrow(run, T.StructType([ids.schema["id"], T.StructField("shingle", T.LongType())]))
-    private = shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("private"))
-    known = sizes.join(few, "id", "left_semi").join(private, "id", "left")
-    one = F.expr(f"((100 + {PERCENT}) * (least - coalesce(private, 0)) - {PERCENT} * least) div {PERCENT}")
-    known = known.withColumn("reach", F.when(F.col("texts") == 1, one).otherwise(F.expr(f"100 * most div {PERCENT}")))
-    return known.where(f"100 * reach >= {PERCENT} * least").select("id", "least", "most", "reach")
+    return texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("shingle", T.LongType())]))
+
+
+def _rare(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the shingles that at most ``RARE`` of ``ids`` have: their number by id, and the ids that share one (an array of at most RARE)."""
+    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    shingles = _shingles(texts.join(few, "id", "left_semi"))
+    counted = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") <= RARE))
+    several = counted.where("n > 1").select("shingle")
+    several = F.broadcast(several) if several.count() <= SENT_IDS else several
+    shared = stored(shingles.join(several, "shingle", "left_semi").groupBy("shingle").agg(F.collect_set("id").alias("ids")).select("ids"))
+    numbers = counted.where("n = 1").select("id").union(shared.select(F.explode("ids"))).groupBy("id").agg(F.count("*").alias("rare"))
+    return numbers, shared
+
+
+def _reach(ids: DataFrame, sizes: DataFrame, rare: DataFrame) -> DataFrame:
+    """(id, least, most, reach): size of the set, and that of the largest set it may link to without a rare shingle in common.
+
+    Of n shingles p are rare; then at most n - p are common with a set of m, so that PERCENT needs
+    (100 + PERCENT) * (n - p) >= PERCENT * (n + m). For ids of several texts p counts as 0.
+    """
+    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    known = sizes.join(few, "id", "left_semi").join(rare, "id", "left")
+    one = F.expr(f"((100 + {PERCENT}) * (least - coalesce(rare, 0)) - {PERCENT} * least) div {PERCENT}")
+    return known.withColumn("reach", F.when(F.col("texts") == 1, one).otherwise(F.expr(f"100 * most div {PERCENT}")))
 
 
 def _bin(n: Column) -> Column:
@@ -228,15 +253,27 @@ def _bin(n: Column) -> Column:
 
 
 def _fitting(known: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a bucket, one of them not in the component of the bucket's first pivot, whose sizes permit a link."""
+    """Pairs (a, b) that may link, one of them in a bucket but not in the component of the bucket's first pivot.
+
+    Two that share a rare shingle are paired by it; two that do not, only where sizes and numbers of rare shingles permit a link.
+    """
     open_ = known.where("of <> first_of").select("band").distinct()
     known = stored(known.join(open_, "band", "left_semi"))
-    reach = stored(_reach(known.select("id").distinct(), sizes, texts))
-    known = known.join(reach, "id")
+    ids = stored(known.select("id").distinct())
+    rare, shared = _rare(ids, texts)
+    reach = stored(_reach(ids, sizes, rare))
+    named = reach.join(known.groupBy("id").agg(F.min("of").alias("of")), "id")
+    near = shared.select(F.posexplode("ids").alias("k", "a"), "ids").select("a", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("b"))
+    near = _pairs(near, "a", "b")
+    for side in "ab":
+        near = near.join(named.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "of", "least", "most"))).withColumnRenamed(f"{side}_id", side), side)
+    near = near.where(f"a_of <> b_of and 100 * a_most >= {PERCENT} * b_least and 100 * b_most >= {PERCENT} * a_least").select("a", "b")
+    known = known.join(reach.where(f"100 * reach >= {PERCENT} * least"), "id")
     apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), F.col("least").alias("a_least"), F.col("reach").alias("a_reach"), F.explode(F.sequence(_bin(F.ceil(F.col("least") * PERCENT / 100)), _bin(F.col("reach")))).alias("bin"))
     rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"), "first_of", F.col("least").alias("b_least"), F.col("reach").alias("b_reach"), F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
     # Two that both stand apart come once.
-    return _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach"), "a", "b")
+    alike = _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach"), "a", "b")
+    return near.union(alike).distinct()
 
 
 def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -257,17 +294,23 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
     banded = stored(banded.join(shared, "band"))
     degrees = banded.groupBy("id").agg(F.sum("n").alias("degree"))
     known = stored(banded.join(degrees, "id").select("band", "id", "degree", F.col("id").alias("of"), F.lit(False).alias("met"), F.lit(None).cast(members.schema["id"].dataType).alias("first")))
+    discard(banded)
     links = found = None
     for _ in range(PIVOTS):
         pivots = known.where("not met").groupBy("band").agg(F.max_by(F.struct("id", "of"), F.struct("degree", "id")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.of").alias("pivot_of"))
         pivots = stored(pivots)
         pairs = stored(_pairs(known.join(pivots, "band").where("of <> pivot_of"), "id", "pivot"))
         if not pairs.limit(1).count():
+            discard(pivots, pairs)
             break
-        new = _verify(stored(_prune(pairs, members)), texts)
-        links = stored(new if links is None else links.union(new))
-        found = components(links)
-        known = stored(_met(known, pivots, found))
+        likely = stored(_prune(pairs, members))
+        new = _verify(likely, texts)
+        both = stored(new if links is None else links.union(new))
+        discard(pairs, likely, *([links] if links else []))
+        links, found = both, components(both)
+        told = stored(_met(known, pivots, found))
+        discard(known, pivots)
+        known = told
     if found is not None:
         # Only who is not in the component of the bucket's first pivot meets the rest of the bucket.
         name = found.select(F.col("id").alias("first"), F.col("component").alias("first_in"))

@@ -14,6 +14,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         found = f"file://{tempfile.mkdtemp(prefix='ratelake-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -39,10 +41,11 @@ def stored(df: DataFrame) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a stored table that nothing reads any more."""
-    where, files = _files(df.sparkSession, df._stored_at)
-    files.delete(where, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of stored tables that nothing reads any more."""
+    for df in tables:
+        where, files = _files(df.sparkSession, df._stored_at)
+        files.delete(where, True)
 
 
 def _files(spark: SparkSession, path: str):
