@@ -4,14 +4,17 @@ Tokens are words (runs of characters other than ASCII white space, A-Z lower-cas
 
 1. Words are counted over all training texts; counts are added up in tasks first, then by key.
 2. Every word has a bucket: each of the ``OWN`` most frequent words one of its own, any other word the one of its hashed
-   ending. A bucket is a class and a member of it.
+   ending. A bucket is a member of one of ``CLASSES`` classes of words of like frequency.
 3. log P(word | history) = log P(class | history) + log P(member | class, history) + log P(word | bucket). The first two
    are softmaxes over summed weights of hashed features: the bucket before, the two before, and the second before with
    the nearer one skipped, besides a bias from the buckets' counts. The last is an add-one estimate from the counts, with one share in each bucket for all words not seen in it, so the model is normalised.
-4. The weights are learned from all training texts, dealt by document to ``ROUNDS`` rounds: in a round every task takes
-   gradient steps over its texts from the common weights, and the tasks' weights are averaged by their tokens in a tree.
-5. Scoring runs over slices of texts. Counts of the frequent words, whose number is bounded, are sent to the tasks; all
-   other words, none of which holds more than a small share of the tokens, meet their counts in a join.
+4. The weights are learned from all training texts, dealt by doc_id to ``ROUNDS`` rounds of as many shares as the root
+   of the corpus's size asks for: in a round every share takes gradient steps over its texts from the common weights, and
+   the shares' weights are averaged by their tokens, piece by piece of the tables. The tables have rows in proportion to
+   the root of the number of training tokens, up to LARGEST times the least, which bounds a worker's memory.
+5. Scoring runs over slices of texts. Counts of the frequent words, whose number is bounded, are sent to the tasks. All
+   other words, none of which holds more than a small share of the tokens, meet their counts in a join: each row carries
+   the number of its text, and what the join adds to a text is summed by that number.
 
 Words are keyed by hashes of 64 bits. A null text is empty, so it has one token. Repeated rows are scored row by row. A row
 without doc_id is not held out. Other columns are ignored; without training texts all counts are 0.
@@ -19,25 +22,32 @@ without doc_id is not held out. Other columns are ignored; without training text
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ratelake.llm.arrow_text import SLICE_BYTES, slices
-from ratelake.llm.shared_store import stored
+from ratelake.llm.shared_store import discard, stored
 
 #: Words with buckets of their own, hashed buckets after them, members of a class.
-OWN, HASHED, MEMBERS = 128, 128, 16
+OWN, HASHED, MEMBERS = 1792, 256, 32
 BUCKETS = OWN + HASHED
 CLASSES = BUCKETS // MEMBERS
-#: Weight rows of all features for classes and for members; both tables have this size whatever the corpus.
-CLASS_ROWS, MEMBER_ROWS = 1 << 13, 1 << 15
+#: Fewest weight rows of all features for classes and for members, and how many times as many there may be.
+CLASS_ROWS, MEMBER_ROWS, LARGEST = 1 << 13, 1 << 15, 8
+#: A share of a round has the root of this many bytes times those of all training texts.
+SHARE_BYTES = 4 << 20
+#: Floats of a piece of the weights.
+PIECE = 4096
 FEATURES, ROUNDS, BATCH, RATE = 3, 3, 8192, 0.15
 #: Most words whose counts are sent to the tasks (16 bytes each).
 SENT_WORDS = 400_000
@@ -133,15 +143,16 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
 @dataclass
 class Vocabulary:
-    """Counts of the frequent words, buckets of the most frequent, and sums of all words by bucket."""
+    """Counts of the words that are sent, buckets of the most frequent, and sums of all words by bucket."""
 
     words: np.ndarray  # sorted keys
     counts: np.ndarray
-    own: np.ndarray  # bucket of a frequent word, or -1
+    own: np.ndarray  # bucket of a sent word, or -1
     bucket_count: np.ndarray
     bucket_words: np.ndarray
     n_tokens: int
     n_words: int
+    least: int | None = None  # every word of at least this count is among ``words``
 
     def buckets(self, keys: np.ndarray, endings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bucket of each key; its count, and whether that is known here."""
@@ -154,7 +165,7 @@ class Vocabulary:
 
 
 def build_vocabulary(counted: DataFrame, sent_words: int = SENT_WORDS) -> Vocabulary:
-    """From stored counts. Frequent are the words above the count that at most ``sent_words`` words exceed."""
+    """From stored counts. Sent are the ``OWN`` most frequent words and those of the counts that at most ``sent_words`` words reach."""
     levels = sorted((tuple(r) for r in counted.groupBy("n").count().collect()), reverse=True)  # at most sqrt(2 * tokens) rows
     n_tokens, n_words, above, least = sum(n * k for n, k in levels), sum(k for _, k in levels), 0, None
     for n, k in levels:
@@ -162,45 +173,46 @@ def build_vocabulary(counted: DataFrame, sent_words: int = SENT_WORDS) -> Vocabu
         if above > sent_words:
             break
         least = n
-    frequent = counted.where(F.col("n") >= least) if least is not None else counted.limit(0)
-    table = frequent.toPandas().sort_values("word", key=lambda x: x.to_numpy().view(np.uint64))
-    words, counts = table["word"].to_numpy(np.int64).view(np.uint64), table["n"].to_numpy(np.int64)
-    own = np.full(len(words), -1)
-    ranked = np.lexsort((words, -counts))[:OWN]
-    own[ranked] = np.arange(len(ranked))
-    by_ending = {r[0]: (r[1], r[2]) for r in counted.groupBy("ending").agg(F.sum("n"), F.count("*")).collect()}
+    top = counted.orderBy(F.desc("n"), "word").limit(OWN).toPandas()
+    rank = dict(zip(top["word"].tolist(), range(len(top))))
+    table = counted.where(F.col("n") >= least).toPandas() if least is not None else top
+    table = pd.concat([table, top]).drop_duplicates("word").sort_values("word", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
+    words, counts, endings = table["word"].to_numpy(np.int64), table["n"].to_numpy(np.int64), table["ending"].to_numpy(np.int64)
+    own = np.array([rank.get(w, -1) for w in words.tolist()], np.int64)
     bucket_count, bucket_words = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for ending, (n, k) in by_ending.items():
+    for ending, n, k in counted.groupBy("ending").agg(F.sum("n"), F.count("*")).collect():
         bucket_count[ending], bucket_words[ending] = n, k
-    endings = table["ending"].to_numpy(np.int64)
-    for rank, i in enumerate(ranked):
-        bucket_count[rank], bucket_words[rank] = counts[i], 1
+    for i in np.flatnonzero(own >= 0):
+        bucket_count[own[i]], bucket_words[own[i]] = counts[i], 1
         bucket_count[endings[i]] -= counts[i]
         bucket_words[endings[i]] -= 1
-    return Vocabulary(words, counts, own, bucket_count, bucket_words, n_tokens, n_words)
+    return Vocabulary(words.view(np.uint64), counts, own, bucket_count, bucket_words, n_tokens, n_words, least)
 
 
 @dataclass
 class Weights:
-    classes: np.ndarray  # CLASS_ROWS x CLASSES
-    members: np.ndarray  # MEMBER_ROWS x MEMBERS
+    classes: np.ndarray  # rows x CLASSES
+    members: np.ndarray  # rows x MEMBERS
     class_bias: np.ndarray
     member_bias: np.ndarray  # CLASSES x MEMBERS
-    class_squares: np.ndarray = field(default_factory=lambda: np.full(CLASS_ROWS, 1e-3, np.float32))
-    member_squares: np.ndarray = field(default_factory=lambda: np.full(MEMBER_ROWS, 1e-3, np.float32))
+    class_squares: np.ndarray
+    member_squares: np.ndarray
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.classes, self.members, self.class_squares, self.member_squares)])
 
     def with_flat(self, x: np.ndarray) -> Weights:
-        sizes = np.cumsum([CLASS_ROWS * CLASSES, MEMBER_ROWS * MEMBERS, CLASS_ROWS])
+        sizes = np.cumsum([self.classes.size, self.members.size, len(self.classes)])
         a, b, c, d = np.split(x.astype(np.float32), sizes)
-        return Weights(a.reshape(CLASS_ROWS, CLASSES), b.reshape(MEMBER_ROWS, MEMBERS), self.class_bias, self.member_bias, c, d)
+        return Weights(a.reshape(-1, CLASSES), b.reshape(-1, MEMBERS), self.class_bias, self.member_bias, c, d)
 
 
 def initial_weights(vocabulary: Vocabulary) -> Weights:
+    """No weights yet but the biases; the numbers of rows are powers of two next to the root of the number of tokens."""
+    times = 1 << min(LARGEST.bit_length() - 1, max(0, int(2 * vocabulary.n_tokens**0.5).bit_length() - CLASS_ROWS.bit_length()))
+    a, b = CLASS_ROWS * times, MEMBER_ROWS * times
     share = (vocabulary.bucket_count + 0.5).reshape(CLASSES, MEMBERS).astype(np.float32)
-    return Weights(np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((MEMBER_ROWS, MEMBERS), np.float32), np.log(share.sum(1) / share.sum()), np.log(share / share.sum(1, keepdims=True)))
+    return Weights(np.zeros((a, CLASSES), np.float32), np.zeros((b, MEMBERS), np.float32), np.log(share.sum(1) / share.sum()), np.log(share / share.sum(1, keepdims=True)), np.full(a, 1e-3, np.float32), np.full(b, 1e-3, np.float32))
 
 
 def history_features(buckets: np.ndarray, borders: np.ndarray) -> np.ndarray:
@@ -214,7 +226,7 @@ def history_features(buckets: np.ndarray, borders: np.ndarray) -> np.ndarray:
         x[place < k] = BUCKETS
         before.append(x)
     one, two = before
-    kinds = (one, one * np.uint64(1024) + two + np.uint64(1 << 24), two + np.uint64(1 << 40))
+    kinds = (one, one * np.uint64(4096) + two + np.uint64(1 << 24), two + np.uint64(1 << 40))
     return np.stack([_mixed(x + np.uint64(1)) for x in kinds], 1)
 
 
@@ -227,8 +239,8 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def _chances(w: Weights, features: np.ndarray, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Class and member chances of tokens, and the weight rows that made them."""
     kind = buckets // MEMBERS
-    class_rows = (features >> np.uint64(20)).astype(np.uint16) & np.uint16(CLASS_ROWS - 1)
-    member_rows = ((features + _KIND[kind][:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.uint16) & np.uint16(MEMBER_ROWS - 1)
+    class_rows = (features >> np.uint64(20)).astype(np.uint32) & np.uint32(len(w.classes) - 1)
+    member_rows = ((features + _KIND[kind][:, None]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.uint32) & np.uint32(len(w.members) - 1)
     classes, members = np.broadcast_to(w.class_bias, (len(buckets), CLASSES)).copy(), w.member_bias[kind]
     for j in range(FEATURES):
         classes += w.classes.take(class_rows[:, j], 0)
@@ -282,40 +294,37 @@ def _here(key: str, sent) -> tuple:
     return _kept[key]
 
 
-def _round(texts: DataFrame, vocabulary, w: Weights, tasks: int) -> Weights:
-    """Weights after every task has learned from its texts, averaged by tokens in a tree of sums."""
-    key, sent = uuid.uuid4().hex, texts.sparkSession.sparkContext.broadcast((vocabulary, w))
-    names = ["n", "weights"]
+def _round(shares: DataFrame, vocabulary: Vocabulary, w: Weights, n_shares: int) -> Weights:
+    """Weights after every share (share, text) has learned from its texts, averaged by tokens."""
+    key, sent = uuid.uuid4().hex, shares.sparkSession.sparkContext.broadcast((vocabulary, w))
+    names = ["piece", "share", "n", "weights"]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, common = _here(key, sent)
-        own, n = common.with_flat(common.flat()), 0
-        for _, data, offsets in slices(batches):
+        own, n, share = common.with_flat(common.flat()), 0, 0
+        for part, data, offsets in slices(batches):
             keys, endings, borders = tokens(data, offsets)
             gradient_steps(own, vocabulary.buckets(keys, endings)[0], borders)
-            n += len(keys)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(own.flat().astype(np.float64) * n).astype(np.float32).tobytes()], pa.binary())], names)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, total = 0, None
-        for batch in batches:
-            for k, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                n, part = n + k, np.frombuffer(x.as_buffer(), np.float32)
-                total = part.astype(np.float64) if total is None else total + part
+            n, share = n + len(keys), part.column(0)[0].as_py()
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names)
-
-    out = T.StructType([T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
-    sums = texts.select("text").mapInArrow(learn, out)
-    while tasks > 8:
-        tasks = -(-tasks // 8)
-        sums = sums.repartition(tasks).mapInArrow(add, out)
-    n, total = 0, 0.0
-    for r in sums.toLocalIterator():
-        n, total = n + r[0], total + np.frombuffer(r[1], np.float32).astype(np.float64)
+            x = own.flat()
+            parts = [x[k : k + PIECE].tobytes() for k in range(0, len(x), PIECE)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([share] * len(parts), pa.int32()), pa.array([n] * len(parts)), pa.array(parts, pa.binary())], names)
+
+    def average(piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("share")
+        n = piece.column("n").to_numpy()
+        total = sum(np.frombuffer(x.as_buffer(), np.float32) * (k / n.sum()) for k, x in zip(n, piece.column("weights")))
+        return pa.table({"piece": piece.column("piece")[:1], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    out = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("share", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
+    learned = shares.repartitionById(n_shares, F.col("share")).mapInArrow(learn, out)
+    pieces = learned.groupBy("piece").applyInArrow(average, "piece int, weights binary")
+    found = stored(pieces)
+    table = found.toArrow().sort_by("piece")
+    discard(found)
     sent.unpersist()
-    return w.with_flat(total / n) if n else w
+    return w.with_flat(np.concatenate([np.frombuffer(x.as_buffer(), np.float32) for x in table.column("weights")])) if table.num_rows else w
 
 
 @dataclass
@@ -329,13 +338,16 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> LanguageModel:
     """Counts over all ``texts`` (doc_id, text), then weights learned from all of them in ``rounds`` shares."""
     counted = stored(word_counts(texts))
     vocabulary = build_vocabulary(counted)
-    w, tasks = initial_weights(vocabulary), texts.rdd.getNumPartitions()
+    w = initial_weights(vocabulary)
     # Buckets need only the words with one of their own.
     top = vocabulary.own >= 0
     small = Vocabulary(vocabulary.words[top], vocabulary.counts[top], vocabulary.own[top], vocabulary.bucket_count, vocabulary.bucket_words, 0, 0)
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(rounds))
+    n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_shares = max(1, math.ceil((n_bytes / SHARE_BYTES) ** 0.5))
+    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(rounds * n_shares))
+    shares = texts.select(dealt.alias("dealt"), "text").where("text is not null")
     for k in range(rounds):
-        w = _round(texts.where(share == k), small, w, tasks)
+        w = _round(shares.where(F.col("dealt") % rounds == k).select((F.col("dealt") / rounds).cast("int").alias("share"), "text"), small, w, n_shares)
     return LanguageModel(counted, vocabulary, w)
 
 
@@ -343,42 +355,41 @@ def score(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every text."""
     v = model.vocabulary
     key, sent = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast((v, model.weights))
-    out = T.StructType([docs.schema["doc_id"], T.StructField("text_key", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("model", T.DoubleType()), T.StructField("rare", T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("ending", T.IntegerType()), T.StructField("k", T.IntegerType())])))])
+    longs, doubles = ("row", "n_tokens", "n_known"), ("base", "model")
+    rare = T.ArrayType(T.StructType([T.StructField("word", T.LongType()), T.StructField("k", T.IntegerType())]))
+    out = T.StructType([docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in longs), *(T.StructField(c, T.DoubleType()) for c in doubles), T.StructField("rare", rare)])
     names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, w = _here(key, sent)
-        log_all = np.log10(v.n_tokens + v.n_words + 1)
+        log_all, at_row = np.log10(v.n_tokens + v.n_words + 1), TaskContext.get().partitionId() << 40
+        bucket_logs = np.log10(v.bucket_count + v.bucket_words + 1)
         for part, data, offsets in slices(batches):
             keys, endings, borders = tokens(data, offsets)
             buckets, counts, known = v.buckets(keys, endings)
-            row = np.repeat(np.arange(len(borders) - 1), np.diff(borders))
-            logged = np.log10(counts + 1)
-            base = np.bincount(row, np.where(known, logged - log_all, 0.0), len(borders) - 1)
-            bucket_logs = np.log10(v.bucket_count + v.bucket_words + 1)
-            total = np.bincount(row, log10_chances(w, buckets, borders) - bucket_logs[buckets] + np.where(known, logged, 0.0), len(borders) - 1)
+            n = len(borders) - 1
+            row = np.repeat(np.arange(n), np.diff(borders))
+            logged = np.where(known, np.log10(counts + 1), 0.0)
+            base = np.bincount(row, logged, n) - np.diff(borders) * log_all
+            total = np.bincount(row, log10_chances(w, buckets, borders) - bucket_logs[buckets] + logged, n)
             # The rare words of each text, each once with its number of occurrences.
             at = np.flatnonzero(~known)
             order = at[np.lexsort((keys[at], row[at]))]
             first = np.flatnonzero(np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (row[order][1:] != row[order][:-1])])) if len(order) else np.zeros(0, np.int64)
-            rare = pa.StructArray.from_arrays([pa.array(keys[order[first]].view(np.int64)), pa.array(endings[order[first]]), pa.array(np.diff(np.append(first, len(order))).astype(np.int32))], ["word", "ending", "k"])
-            text_key = np.add.reduceat(_mixed(keys + np.arange(len(keys), dtype=np.uint64) - np.repeat(borders[:-1], np.diff(borders)).astype(np.uint64)), borders[:-1]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order[first]], np.arange(len(borders))).astype(np.int32)), rare)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(text_key), pa.array(np.diff(borders)), pa.array(np.bincount(row[known], minlength=len(borders) - 1)), pa.array(base), pa.array(total), lists], names)
-
-    scored = docs.select("doc_id", "text").mapInArrow(run, out)
-    log_all = float(np.log10(v.n_tokens + v.n_words + 1))
-    lines = scored.select("doc_id", "text_key", "n_tokens", "n_known", "base", "model", F.explode_outer(F.concat(F.array(F.struct(F.lit(None).cast("long").alias("word"), F.lit(None).cast("int").alias("ending"), F.lit(0).alias("k"))), "rare")).alias("x"))
-    # Rare words that training texts have; a word's rows are few, since its count is below that of all words sent.
-    rare = stored(lines.select("doc_id", "text_key", *(F.when(F.col("x.word").isNull(), F.col(c)).alias(c) for c in ("n_tokens", "n_known", "base", "model")), "x.word", "x.k"))
-    heads = rare.where("word is null").groupBy("doc_id", "text_key").agg(*(F.first(c).alias(c) for c in ("n_tokens", "n_known", "base", "model")), F.count("*").alias("copies"))
-    seen = rare.where("word is not null").join(model.counted.select("word", "n"), "word", "left")
-    n1 = F.log10(F.coalesce("n", F.lit(0)) + 1)
-    tails = seen.groupBy("doc_id", "text_key").agg(F.sum("k").alias("rare_k"), F.sum(F.when(F.col("n") > 0, F.col("k"))).alias("known_k"), F.sum(F.col("k") * n1).alias("logs"))
-    x = heads.join(tails.withColumnsRenamed({"doc_id": "of", "text_key": "at"}), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("at")), "left")
-    each = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0))  # noqa: E731  equal rows have equal parts
-    base = F.col("base") + each("logs") - each("rare_k") * log_all
-    return x.select("doc_id", "n_tokens", (F.col("n_known") + each("known_k")).cast("long").alias("n_known"), F.lit(v.n_tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (F.col("model") + each("logs")).alias("score"), F.explode(F.expr("sequence(1L, copies)")).alias("_copy")).drop("_copy")
+            words = pa.StructArray.from_arrays([pa.array(keys[order[first]].view(np.int64)), pa.array(np.diff(np.append(first, len(order))).astype(np.int32))], ["word", "k"])
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row[order[first]], np.arange(n + 1)).astype(np.int32)), words)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at_row + np.arange(n)), pa.array(np.diff(borders)), pa.array(np.bincount(row[known], minlength=n)), pa.array(base), pa.array(total), lists], names)
+            at_row += n
+
+    # Stored, so that a row keeps its number.
+    scored = stored(docs.select("doc_id", "text").mapInArrow(run, out))
+    below = model.counted if v.least is None else model.counted.where(F.col("n") < v.least)
+    # A rare word's rows are few, since its count is below that of the words sent.
+    seen = scored.select("row", F.explode("rare").alias("x")).select("row", "x.word", "x.k").join(below.select("word", "n"), "word")
+    tails = seen.groupBy("row").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("logs"))
+    x = scored.drop("rare").join(tails, "row", "left")
+    logs, k = (F.coalesce(c, F.lit(0)) for c in ("logs", "k"))
+    return x.select("doc_id", "n_tokens", (F.col("n_known") + k).cast("long").alias("n_known"), F.lit(v.n_tokens).cast("long").alias("train_tokens"), (F.col("base") + logs).alias("base_score"), (F.col("model") + logs).alias("score"))
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:

@@ -31,15 +31,16 @@ def test_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = check(lm.lm_scores(docs), docs)
     out = [r for r in rows if r["held_out"]]
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+    assert sum(r["score"] - r["base_score"] for r in out) > 0.15 * sum(r["n_tokens"] for r in out)
 
 
-def test_rare_words_by_join(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("sent", [1, 300])
+def test_scores_do_not_depend_on_what_is_sent(spark, sf_dir, monkeypatch, sent):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
-    monkeypatch.setattr(lm, "SENT_WORDS", 300)
-    monkeypatch.setattr(lm.build_vocabulary, "__defaults__", (300,))
     whole = {r["doc_id"]: r["score"] for r in check(lm.lm_scores(docs), docs)}
-    assert all(math.isfinite(x) and x < 0 for x in whole.values())
+    monkeypatch.setattr(lm.build_vocabulary, "__defaults__", (sent,))
+    joined = {r["doc_id"]: r["score"] for r in check(lm.lm_scores(docs), docs)}
+    assert joined.keys() == whole.keys() and all(math.isclose(joined[i], whole[i], rel_tol=1e-6) for i in whole)
 
 
 @pytest.mark.parametrize("texts", [[None, "", " ", "a", "a", "B b  é", "x" * 3000], []])
