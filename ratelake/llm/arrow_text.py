@@ -34,3 +34,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = S
             part = batch.slice(at, to - at)
             yield (part, *byte_view(part.column(part.schema.get_field_index(text))))
             at = to
+
+
+def windows(batches: Iterator[pa.RecordBatch], overlap: int, text: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, int]]:
+    """slices(), but a text of more than twice ``limit`` bytes comes in windows; the last item is where in its text the slice begins.
+
+    Each window but the last has ``overlap`` bytes more than the next one's distance, so each string of overlap + 1 bytes begins and ends in one.
+    """
+    for part, data, offsets in slices(batches, text, limit):
+        if len(offsets) > 2 or len(data) <= 2 * limit:
+            yield part, data, offsets, 0
+            continue
+        for at in range(0, max(1, len(data) - overlap), limit):
+            x = data[at : at + limit + overlap]
+            yield part, x, np.array([0, len(x)]), at

@@ -1,22 +1,25 @@
-"""Removal of repeated passages: buckets of sampled grams, then hashes of whole strings.
+"""Removal of repeated passages by bucket-pointer refinement.
 
-A string of ``LENGTH`` bytes is repeated if it also starts earlier. Positions lie first in buckets of their GRAM-byte gram
-and a bucket with one member is done, as in bucket-pointer refinement; but what stays open is split by one hash of all
-LENGTH bytes, not in rounds by bucket identifiers at later offsets:
+A string of ``LENGTH`` bytes is repeated if it also starts earlier. Positions are held in buckets of equal beginnings; a
+bucket's identifier points to its first position, and a bucket with one member is closed.
 
-1. Only sampled positions are bucketed: grams with a small hash wherever they stand, and in strings that hold none, the
-   gram with the least hash. Each string of LENGTH bytes has a sampled gram that its own bytes determine, its anchor.
-   Grams are counted; those that occur once close every string that holds them.
-2. The neighbouring strings with one anchor that stay open form a unit. Units are bucketed by their bytes. All units of
-   a bucket but the first are repeated as a whole, whatever their number; the first stands for all.
-3. Where a gram's bucket has split into several units, their firsts are refined to single strings of LENGTH bytes, and
-   all of an equal group but the earliest are repeated. Of a pair, the smallest and the largest position tell; only for
-   larger groups the strings are looked at again.
+1. A pre-filter finds the positions that are worth a bucket. Grams of ``GRAM`` bytes are sampled: those with a small hash
+   wherever they stand, and in strings that hold none, the gram with the least hash. Each string of LENGTH bytes has a
+   sampled gram that its own bytes determine, its anchor. Grams that occur once close every string that holds them.
+2. Neighbouring strings with one anchor that stay open form a unit. Units of equal bytes are one: all but the first are
+   repeated as a whole, whatever their number, and the first stands for all. Where an anchor has several kinds of units,
+   the positions of the firsts are refined.
+3. The refinement begins with buckets of GRAM bytes. In a round with step q the positions of a bucket of p bytes are sorted
+   apart by the identifiers of the buckets that the positions q bytes later are in, which gives the buckets of p + q
+   bytes: of 64, then of LENGTH. Each round reuses the identifiers that the one before has given, and closed positions are
+   left out. What stays in a bucket of LENGTH bytes behind its first position is repeated.
 
-Keys are hashes of 96 bits. Positions are ordered by doc_id, then by offset.
+Units and first grams are told apart by two hashes of 64 bits with independent byte tables, all longer strings by
+identifiers. Positions are ordered by doc_id, then by offset. Long texts are read in overlapping windows.
 
 Null texts are empty. Rows without doc_id lose nothing and count as nowhere earlier. Rows that share a doc_id count as one
 document with several texts, from each of which the bytes at their common repeated places go. Other columns are ignored.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,21 +31,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelake.llm.arrow_text import slices
+from ratelake.llm.arrow_text import slices, windows
 from ratelake.llm.shared_store import discard, stored
 
 LENGTH, GRAM = 100, 32
+#: Steps of the refinement, from GRAM to LENGTH bytes.
+STEPS = (32, 36)
 #: One gram in so many is sampled wherever it stands.
 EVERY = 32
 #: A set of keys up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
 SENT_KEYS = 6_000_000
 
 _rng = np.random.default_rng(977)
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
-_STEP = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) | np.uint64(1)
+_BYTES = _rng.integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+_STEP = _rng.integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
 _BASE = _rng.integers(1, 1 << 60, dtype=np.uint64) * np.uint64(8) + np.uint64(5)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _BELOW = np.uint64((1 << 64) // EVERY)
@@ -50,42 +56,39 @@ _TOP = np.uint64(0xFFFFFFFF00000000)
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def _joined(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of two neighbouring parts as hashes of the whole."""
-    x = a * _STEP[2 * k] + b
-    x ^= x >> np.uint64(29)
-    x *= _STEP[2 * k + 1]
-    x ^= x >> np.uint64(32)
-    return x
-
-
 @lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE and its inverse modulo 2**64 to the powers below n."""
     return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (_BASE, _BACK))
 
 
-def gram_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the GRAM and of the LENGTH bytes from each position; only those that lie in one text mean anything.
+class Strings:
+    """Hashes of the strings of a slice of texts: differences of prefix sums of random byte values times powers of _BASE, taken back to power 0 and mixed."""
 
-    A window is the difference of two prefix sums of random byte values times powers of _BASE, taken back to power 0 and mixed.
-    """
-    n = len(data)
-    up, down = _powers(1 << max(20, n.bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(np.take(_BYTE, data) * up[:n], out=sums[1:])
-
-    def windows(size: int, k: int) -> np.ndarray:
-        out = np.zeros(n, np.uint64)
-        x = out[: max(0, n - size + 1)]
-        np.subtract(sums[size:], sums[: len(x)], out=x)
-        x *= down[: len(x)]
-        x ^= x >> np.uint64(32)
-        x *= _STEP[k]
-        x ^= x >> np.uint64(29)
+    def __init__(self, data: np.ndarray, table: int = 0):
+        n = len(data)
+        self.up, self.down = _powers(1 << max(20, n.bit_length()))
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(np.take(_BYTES[table], data) * self.up[:n], out=self.sums[1:])
+
+    def of(self, begin: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return self._mixed((self.sums[begin + size] - self.sums[begin]) * self.down[begin])
+
+    def grams(self) -> np.ndarray:
+        """Of the GRAM bytes from each position; only those that lie in one text mean anything."""
+        out = np.zeros(len(self.sums) - 1, np.uint64)
+        x = out[: max(0, len(out) - GRAM + 1)]
+        np.subtract(self.sums[GRAM:], self.sums[: len(x)], out=x)
+        x *= self.down[: len(x)]
+        x[:] = self._mixed(x)
         return out
 
-    return windows(GRAM, 0), windows(LENGTH, 1)
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        x ^= x >> np.uint64(32)
+        x *= _STEP[0]
+        x ^= x >> np.uint64(29)
+        return x
 
 
 class Sampled:
@@ -93,7 +96,8 @@ class Sampled:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(data)
-        self.gram, self.string = gram_hashes(data)
+        self.strings = Strings(data)
+        self.gram = self.strings.grams()
         left = np.repeat(offsets[1:], np.diff(offsets)) - np.arange(n)
         self.holds = left >= LENGTH
         ranked = np.where(left >= GRAM, self.gram & _TOP | np.arange(n).astype(np.uint64), _NONE)
@@ -129,19 +133,13 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _check(x: np.ndarray) -> pa.Array:
-    """32 more bits of a key, from other steps than those of the key itself."""
-    y = (x ^ x >> np.uint64(33)) * _STEP[15]
-    return pa.array((y >> np.uint64(32)).astype(np.uint32).view(np.int32))
-
-
 def _long(name: str) -> T.StructField:
     return T.StructField(name, T.LongType())
 
 
 def _counted(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in slices(batches):
+        for _, data, offsets, _ in windows(batches, LENGTH - 1):
             x = Sampled(data, offsets)
             grams, n = np.unique(x.gram[x.positions], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(grams), pa.array(n)], ["gram", "n"])
@@ -151,10 +149,10 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def _sampled(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
+        for part, data, offsets, base in windows(batches, LENGTH - 1):
             x = Sampled(data, offsets)
             row = np.searchsorted(offsets, x.positions, "right") - 1
-            yield pa.RecordBatch.from_arrays([_signed(x.gram[x.positions]), part.column(0).take(pa.array(row)), pa.array(x.positions - offsets[row])], ["gram", "doc_id", "at"])
+            yield pa.RecordBatch.from_arrays([_signed(x.gram[x.positions]), part.column(0).take(pa.array(row)), pa.array(x.positions - offsets[row] + base)], ["gram", "doc_id", "at"])
 
     return docs.mapInArrow(run, T.StructType([_long("gram"), docs.schema["doc_id"], _long("at")]))
 
@@ -164,26 +162,23 @@ def _units(texts: DataFrame, grams: np.ndarray | None) -> DataFrame:
     sent = None if grams is None else texts.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
+        for part, data, offsets, base in windows(batches, LENGTH - 1):
             x, kept = Sampled(data, offsets), np.zeros(len(data), bool)
             if sent is not None:
                 kept[x.positions] = _among(x.gram[x.positions], sent.value)
             else:
                 ats = part.column(2)
-                places = np.repeat(offsets[:-1], ats.value_lengths().to_numpy()) + ats.flatten().to_numpy()
-                kept[places[places < len(data)]] = True
+                places = np.repeat(offsets[:-1], ats.value_lengths().to_numpy()) + ats.flatten().to_numpy() - base
+                kept[places[(places >= 0) & (places < len(data))]] = True
             first, sizes = x.units(kept)
             if not len(first):
                 continue
             row = np.searchsorted(offsets, first, "right") - 1
-            inside = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            powers = np.cumprod(np.full(int(sizes.max()) + 1, _STEP[14], np.uint64))
-            strings = x.string[np.repeat(first, sizes) + inside] * powers[inside]
-            key = _joined(np.add.reduceat(strings, np.cumsum(sizes) - sizes), sizes.astype(np.uint64), 6)
-            yield pa.RecordBatch.from_arrays([_signed(key), _check(x.string[first] + x.string[first + sizes - 1] * _STEP[13]), _signed(x.gram[x.anchor[first]]), part.column(0).take(pa.array(row)), pa.array(first - offsets[row]), pa.array(sizes.astype(np.int32))], names)
+            keys = [_signed(s.of(first, sizes + LENGTH - 1)) for s in (x.strings, Strings(data, 1))]
+            yield pa.RecordBatch.from_arrays([*keys, _signed(x.gram[x.anchor[first]]), part.column(0).take(pa.array(row)), pa.array(first - offsets[row] + base), pa.array(sizes.astype(np.int32))], names)
 
     names = ["key", "more", "gram", "doc_id", "at", "n"]
-    out = T.StructType([_long("key"), T.StructField("more", T.IntegerType()), _long("gram"), texts.schema["doc_id"], _long("at"), T.StructField("n", T.IntegerType())])
+    out = T.StructType([_long("key"), _long("more"), _long("gram"), texts.schema["doc_id"], _long("at"), T.StructField("n", T.IntegerType())])
     return texts.mapInArrow(run, out)
 
 
@@ -198,29 +193,52 @@ def _sent(keys: DataFrame, name: str) -> np.ndarray | None:
     return np.sort(keys.select(name).toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _strings(texts: DataFrame, only: np.ndarray | None = None) -> DataFrame:
-    """Each string of LENGTH bytes of the units, with its key. ``texts`` has doc_id, text and units (at, n); only: the keys looked for."""
-    sent = None if only is None else texts.sparkSession.sparkContext.broadcast(only)
+def _grams(texts: DataFrame) -> DataFrame:
+    """Each position of the units and the hashes of its GRAM bytes. ``texts`` has doc_id, text, version and units (at, n).
+
+    run names the stretch of neighbouring units that a position lies in; ``version`` tells texts of one id apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
-            gram, string = gram_hashes(data)
-            lists = part.column(2)
+        for part, data, offsets, base in windows(batches, LENGTH - 1):
+            lists = part.column(3)
             units = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-            begins, sizes = units.field(0).to_numpy() + offsets[row], units.field(1).to_numpy()
-            ok = begins + sizes + LENGTH - 1 <= offsets[row + 1]  # else a text that shares its id with another
-            row, begins, sizes = row[ok], begins[ok], sizes[ok]
+            begins, sizes = units.field(0).to_numpy() + offsets[row] - base, units.field(1).to_numpy()
+            # Not those of another window, or of a text that shares its id with another.
+            ok = (begins >= offsets[row]) & (begins + sizes + LENGTH - 1 <= offsets[row + 1])
+            order = np.argsort(begins[ok], kind="stable")
+            row, begins, sizes = row[ok][order], begins[ok][order], sizes[ok][order]
+            if not len(row):
+                continue
+            # Grams of units that touch or overlap are one stretch.
+            ends = np.maximum.accumulate(begins + sizes + LENGTH - GRAM)
+            new = np.concatenate([[True], (begins[1:] > ends[:-1]) | (row[1:] != row[:-1])])
+            first = np.flatnonzero(new)
+            begins, ends, row = begins[first], ends[np.append(first[1:], len(ends)) - 1], row[first]
+            sizes = ends - begins
             at = np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            row = np.repeat(row, sizes)
-            if sent is not None:
-                found = _among(string[at], sent.value)
-                at, row = at[found], row[found]
-            # The middle's gram stands for the second part of the key.
-            yield pa.RecordBatch.from_arrays([_signed(string[at]), _check(gram[at + 40]), part.column(0).take(pa.array(row)), pa.array(at - offsets[row])], ["key", "more", "doc_id", "at"])
+            inside = np.repeat(row, sizes)
+            stretch = Strings._mixed(part.column(2).to_numpy()[row].view(np.uint64) + (begins + base).astype(np.uint64) * _STEP[1])
+            keys = [_signed(Strings(data, k).of(at, GRAM)) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, part.column(0).take(pa.array(inside)), pa.array(at - offsets[inside] + base), _signed(np.repeat(stretch, sizes))], names)
 
-    out = T.StructType([_long("key"), T.StructField("more", T.IntegerType()), texts.schema["doc_id"], _long("at")])
-    return texts.mapInArrow(run, out)
+    names = ["key", "more", "doc_id", "at", "run"]
+    return texts.mapInArrow(run, T.StructType([_long("key"), _long("more"), texts.schema["doc_id"], _long("at"), _long("run")]))
+
+
+def _refined(positions: DataFrame, keys: list[str]) -> DataFrame:
+    """Positions (place, run) of the buckets by ``keys`` that have several, with the identifier of each one's bucket."""
+    same = W.partitionBy(*keys)
+    x = positions.withColumns({"_id": F.min("place").over(same), "_n": F.count("*").over(same)})
+    return x.where("_n > 1").select("place", "run", F.col("_id").alias("bucket"))
+
+
+def _later(positions: DataFrame, place: Places, step: int) -> DataFrame:
+    """Positions whose place ``step`` bytes later in their stretch is in a bucket, with that bucket."""
+    doc_id, at = place.parts("place")
+    there = W.partitionBy(doc_id, "run").orderBy(at).rangeBetween(step, step)
+    return positions.withColumn("later", F.first("bucket").over(there)).where("later is not null")
 
 
 class Places:
@@ -269,15 +287,15 @@ def repeated_places(docs: DataFrame) -> DataFrame:
     single = firsts.join(split, "gram", "left_semi").select(doc_id.alias("doc_id"), at.alias("at"), "n")
     single = stored(single.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("units")))
     discard(firsts)
-    texts = docs.join(single, "doc_id").select("doc_id", "text", "units")
-    strings = _strings(texts).select("key", "more", place.of().alias("place"))
-    groups = stored(strings.groupBy("key", "more").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n")).where("n > 1"))
-    doc_id, at = place.parts("last")
-    pairs = groups.where("n = 2 and first < last").select(doc_id.alias("doc_id"), at.alias("at"))
-    larger = groups.where("n > 2").select("key", "more", "first")
+    texts = docs.join(single, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("version"), "units")
+    positions = stored(_refined(_grams(texts).select("key", "more", place.of().alias("place"), "run"), ["key", "more"]))
+    discard(single)
+    for step in STEPS:
+        finer = stored(_refined(_later(positions, place, step), ["bucket", "later"]))
+        discard(positions)
+        positions = finer
     doc_id, at = place.parts("place")
-    again = _strings(texts, _sent(larger, "key")).select("key", "more", place.of().alias("place")).join(larger, ["key", "more"]).where("place > first")
-    parts = pairs.union(again.select(doc_id.alias("doc_id"), at.alias("at"))).withColumn("bytes", F.lit(LENGTH).cast("long"))
+    parts = positions.where("place > bucket").select(doc_id.alias("doc_id"), at.alias("at"), F.lit(LENGTH).cast("long").alias("bytes"))
     return whole.union(_listed(parts))
 
 
@@ -286,26 +304,29 @@ def _kept(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, at: np.ndarray
 
     ``characters``: a character that a run cuts apart goes with it.
     """
-    depth = np.zeros(len(data) + 1, np.int64)
     begin = np.minimum(offsets[row] + at, offsets[row + 1])
-    np.add.at(depth, begin, 1)
-    np.add.at(depth, np.minimum(begin + size, offsets[row + 1]), -1)
-    gone = np.cumsum(depth)[:-1] > 0
-    if characters and len(data):
-        lead = (data & 0xC0) != 0x80
-        gone = np.repeat(np.logical_or.reduceat(gone, np.flatnonzero(lead)), np.diff(np.append(np.flatnonzero(lead), len(data))))
-    kept = np.concatenate([[0], np.cumsum(~gone)])
-    left = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(kept[offsets].astype(np.int32)), pa.py_buffer(data[~gone])])
-    edge = np.zeros(len(data) + 1, bool)
-    edge[offsets] = True
-    begins, ends = gone.copy(), gone.copy()
-    begins[1:] &= ~gone[:-1] | edge[1:-1]
-    ends[:-1] &= ~gone[1:] | edge[1:-1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    of = np.searchsorted(first, offsets)
-    base = np.repeat(offsets[:-1], np.diff(of))
-    spans = pa.StructArray.from_arrays([pa.array(first - base), pa.array(last - base)], ["begin", "end"])
-    return left, pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), spans)
+    end = np.minimum(begin + size, offsets[row + 1])
+    if characters:
+        for _ in range(3):  # back to a first byte, and on to the next one
+            inner = (begin > offsets[row]) & (begin < offsets[row + 1])
+            begin = begin - (inner & ((data[np.where(inner, begin, 0)] & 0xC0) == 0x80) if len(data) else 0)
+            inner = end < offsets[row + 1]
+            end = end + (inner & ((data[np.where(inner, end, 0)] & 0xC0) == 0x80) if len(data) else 0)
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], end[order]
+    row, begin, end = (x[begin < end] for x in (row, begin, end))
+    reach = np.maximum.accumulate(end)
+    new = np.concatenate([[True], (begin[1:] > reach[:-1]) | (row[1:] != row[:-1])])[: len(row)]
+    first = np.flatnonzero(new)
+    row, begin, end = row[first], begin[first], reach[np.append(first[1:], len(reach))[: len(first)] - 1]
+    gone = np.zeros(len(data) + 1, np.int8)
+    gone[begin] += 1
+    gone[end] -= 1
+    left = data[np.cumsum(gone[:-1], dtype=np.int8) == 0]
+    sizes = np.diff(offsets) - np.bincount(row, end - begin, len(offsets) - 1).astype(np.int64)
+    kept = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.py_buffer(left)])
+    spans = pa.StructArray.from_arrays([pa.array(begin - offsets[row]), pa.array(end - offsets[row])], ["begin", "end"])
+    return kept, pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(offsets))).astype(np.int32)), spans)
 
 
 def remove_repeats(docs: DataFrame, columns: tuple[str, ...] = ("doc_id",), characters: bool = False) -> DataFrame:

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ratelake.llm import queries, suffix_dedup
@@ -143,9 +144,22 @@ def repeats(table):
 
 @pytest.mark.parametrize("which", ["awkward", "documents"])
 def test_repeats_equal_a_scan_in_order(which, request):
-    docs = request.getfixturevalue(which).select("doc_id", "text").distinct()
-    found = {i: tuple(r[1:]) for i, r in by_id(repeat_digest(docs)).items()}
-    assert found == repeats([tuple(r) for r in docs.collect()])
+    """Rows that are repeated lose the same bytes; rows without an id lose none and are nowhere earlier."""
+    docs = request.getfixturevalue(which)
+    docs = docs.union(docs.limit(40)).union(docs.limit(5).withColumn("doc_id", F.lit(None).cast("long")))
+    table = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    known = repeats({r for r in table if r[0] is not None})
+    whole = {t: repeats([(0, t)])[0] for i, t in table if i is None}
+    expected = Counter((i, *(known[i] if i is not None else (whole[t][0], 0, 0, hashlib.sha256((t or "").encode()).hexdigest()))) for i, t in table)
+    assert Counter(tuple(r) for r in repeat_digest(docs).collect()) == expected
+
+
+def test_repeats_of_texts_longer_than_a_window(spark):
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdefé ", k=1_100_000))
+    texts = [base, base[333:700] + "x" + base[450_000:480_000], base[5:260] * 3 + base[523_000:525_000], "q" * 1_100_000]
+    docs = spark.createDataFrame(rows(texts), SCHEMA)
+    assert {i: tuple(r[1:]) for i, r in by_id(repeat_digest(docs)).items()} == repeats(list(enumerate(texts)))
 
 
 @pytest.mark.parametrize("sent", [6_000_000, 10])
