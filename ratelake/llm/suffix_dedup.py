@@ -9,10 +9,13 @@ bucket's identifier points to its first position, and a bucket with one member i
 2. Neighbouring strings with one anchor that stay open form a unit. Units of equal bytes are one: all but the first are
    repeated as a whole, whatever their number, and the first stands for all. Where an anchor has several kinds of units,
    the positions of the firsts are refined.
-3. The refinement begins with buckets of GRAM bytes. In a round with step q the positions of a bucket of p bytes are sorted
-   apart by the identifiers of the buckets that the positions q bytes later are in, which gives the buckets of p + q
-   bytes: of 64, then of LENGTH. Each round reuses the identifiers that the one before has given, and closed positions are
-   left out. What stays in a bucket of LENGTH bytes behind its first position is repeated.
+3. The refinement holds the positions on a grid of ``GRID`` bytes around each first's anchor and begins with buckets of
+   GRAM bytes. In a round with step q the positions of a bucket of p bytes are sorted apart by the identifiers of the
+   buckets that the positions q bytes later are in, which gives the buckets of p + q bytes: of 64, then of 88 and 96. Each
+   round reuses the identifiers that the one before has given, and closed positions are left out.
+4. Each string of LENGTH bytes holds a block of 88 or 96 bytes that begins on the grid. The strings of the blocks that
+   stay open are sorted apart by the bytes of theirs before and after the block. What stays in a bucket of LENGTH bytes
+   behind its first position is repeated.
 
 Units and first grams are told apart by two hashes of 64 bits with independent byte tables, all longer strings by
 identifiers. Positions are ordered by doc_id, then by offset. Long texts are read in overlapping windows.
@@ -39,8 +42,9 @@ from ratelake.llm.arrow_text import slices, windows
 from ratelake.llm.shared_store import discard, stored
 
 LENGTH, GRAM = 100, 32
-#: Steps of the refinement, from GRAM to LENGTH bytes.
-STEPS = (32, 36)
+#: Distance of the positions that are refined, and the lengths of the blocks that strings hold: a string that begins up to
+#: 4 bytes before a block of 96 ends behind it, and so does one that begins 5 to 7 bytes before a block of 88.
+GRID, BLOCKS = 8, ((96, 0, 4), (88, 5, 7))
 #: One gram in so many is sampled wherever it stands.
 EVERY = 32
 #: A set of keys up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
@@ -175,10 +179,10 @@ def _units(texts: DataFrame, grams: np.ndarray | None) -> DataFrame:
                 continue
             row = np.searchsorted(offsets, first, "right") - 1
             keys = [_signed(s.of(first, sizes + LENGTH - 1)) for s in (x.strings, Strings(data, 1))]
-            yield pa.RecordBatch.from_arrays([*keys, _signed(x.gram[x.anchor[first]]), part.column(0).take(pa.array(row)), pa.array(first - offsets[row] + base), pa.array(sizes.astype(np.int32))], names)
+            yield pa.RecordBatch.from_arrays([*keys, _signed(x.gram[x.anchor[first]]), part.column(0).take(pa.array(row)), pa.array(first - offsets[row] + base), pa.array(sizes.astype(np.int32)), pa.array((x.anchor[first] - first).astype(np.int32))], names)
 
-    names = ["key", "more", "gram", "doc_id", "at", "n"]
-    out = T.StructType([_long("key"), _long("more"), _long("gram"), texts.schema["doc_id"], _long("at"), T.StructField("n", T.IntegerType())])
+    names = ["key", "more", "gram", "doc_id", "at", "n", "lead"]
+    out = T.StructType([_long("key"), _long("more"), _long("gram"), texts.schema["doc_id"], _long("at"), T.StructField("n", T.IntegerType()), T.StructField("lead", T.IntegerType())])
     return texts.mapInArrow(run, out)
 
 
@@ -193,10 +197,20 @@ def _sent(keys: DataFrame, name: str) -> np.ndarray | None:
     return np.sort(keys.select(name).toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """Each position of the units and the hashes of its GRAM bytes. ``texts`` has doc_id, text, version and units (at, n).
+def _packed(data: np.ndarray, at: np.ndarray, size: int, step: int) -> np.ndarray:
+    """``size`` bytes from ``at`` on, or backwards, as one number with the first in its lowest byte; 0 beyond the ends."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        there = at + k * step
+        inside = (there >= 0) & (there < len(data))
+        out |= np.where(inside, data[np.where(inside, there, 0)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return out
 
-    run names the stretch of neighbouring units that a position lies in; ``version`` tells texts of one id apart.
+
+def _grid(texts: DataFrame) -> DataFrame:
+    """Positions on the units' grids (k steps from the anchor) and the hashes of their GRAM bytes; where a string's block may begin, the bytes around it too.
+
+    ``texts`` has doc_id, text, version and units (at, n, lead); ``version`` tells texts of one id apart.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,41 +218,51 @@ def _grams(texts: DataFrame) -> DataFrame:
             lists = part.column(3)
             units = lists.flatten()
             row = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy())
-            begins, sizes = units.field(0).to_numpy() + offsets[row] - base, units.field(1).to_numpy()
+            begins, sizes, leads = units.field(0).to_numpy() + offsets[row] - base, units.field(1).to_numpy(), units.field(2).to_numpy()
             # Not those of another window, or of a text that shares its id with another.
             ok = (begins >= offsets[row]) & (begins + sizes + LENGTH - 1 <= offsets[row + 1])
-            order = np.argsort(begins[ok], kind="stable")
-            row, begins, sizes = row[ok][order], begins[ok][order], sizes[ok][order]
+            row, begins, sizes, leads = row[ok], begins[ok], sizes[ok], leads[ok]
             if not len(row):
                 continue
-            # Grams of units that touch or overlap are one stretch.
-            ends = np.maximum.accumulate(begins + sizes + LENGTH - GRAM)
-            new = np.concatenate([[True], (begins[1:] > ends[:-1]) | (row[1:] != row[:-1])])
-            first = np.flatnonzero(new)
-            begins, ends, row = begins[first], ends[np.append(first[1:], len(ends)) - 1], row[first]
-            sizes = ends - begins
-            at = np.repeat(begins, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            inside = np.repeat(row, sizes)
-            stretch = Strings._mixed(part.column(2).to_numpy()[row].view(np.uint64) + (begins + base).astype(np.uint64) * _STEP[1])
-            keys = [_signed(Strings(data, k).of(at, GRAM)) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*keys, part.column(0).take(pa.array(inside)), pa.array(at - offsets[inside] + base), _signed(np.repeat(stretch, sizes))], names)
-
-    names = ["key", "more", "doc_id", "at", "run"]
-    return texts.mapInArrow(run, T.StructType([_long("key"), _long("more"), texts.schema["doc_id"], _long("at"), _long("run")]))
+            least = leads - sizes + 1  # how far before the anchor the last string begins, and the first: leads
+            back, on = leads // GRID, (LENGTH - GRAM - least) // GRID
+            n = back + on + 1
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) - np.repeat(back, n)
+            at, inside = np.repeat(begins + leads, n) + GRID * k, np.repeat(row, n)
+            unit = Strings._mixed(part.column(2).to_numpy()[row].view(np.uint64) + (begins - offsets[row] + base).astype(np.uint64) * _STEP[1])
+            around = [_signed(np.where(k <= 0, x, 0)) for x in (_packed(data, at - 1, 7, -1), *(_packed(data, at + size, LENGTH - size - low, 1) for size, low, _ in BLOCKS))]
+            keys = [_signed(Strings(data, t).of(at, GRAM)) for t in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, part.column(0).take(pa.array(inside)), pa.array(at - offsets[inside] + base), _signed(np.repeat(unit, n)), pa.array(k.astype(np.int32)), pa.array(np.repeat(least, n).astype(np.int32)), pa.array(np.repeat(leads, n).astype(np.int32)), *around], names)
+
+    names = ["key", "more", "doc_id", "at", "unit", "k", "least", "most", "before", *(f"after_{size}" for size, _, _ in BLOCKS)]
+    ints = [T.StructField(c, T.IntegerType()) for c in ("k", "least", "most")]
+    return texts.mapInArrow(run, T.StructType([_long("key"), _long("more"), texts.schema["doc_id"], _long("at"), _long("unit"), *ints, *map(_long, names[8:])]))
 
 
 def _refined(positions: DataFrame, keys: list[str]) -> DataFrame:
-    """Positions (place, run) of the buckets by ``keys`` that have several, with the identifier of each one's bucket."""
+    """Positions of the buckets by ``keys`` that have several, with the identifier of each one's bucket in place of the keys."""
     same = W.partitionBy(*keys)
     x = positions.withColumns({"_id": F.min("place").over(same), "_n": F.count("*").over(same)})
-    return x.where("_n > 1").select("place", "run", F.col("_id").alias("bucket"))
+    return x.where("_n > 1").drop(*keys, "_n").withColumnRenamed("_id", "bucket")
 
 
-def _later(positions: DataFrame, place: Places, step: int) -> DataFrame:
-    """Positions whose place ``step`` bytes later in their stretch is in a bucket, with that bucket."""
+def _later(place: Places, step: int) -> Column:
+    """The bucket of the position ``step`` bytes later on the unit's grid, or null."""
+    return F.first("bucket").over(W.partitionBy(place.parts("place")[0], "unit").orderBy("k").rangeBetween(step // GRID, step // GRID))
+
+
+def _strings(blocks: DataFrame, place: Places) -> DataFrame:
+    """Each string of LENGTH bytes of the open blocks: its place, the bucket of its block and its bytes before and after."""
     doc_id, at = place.parts("place")
-    there = W.partitionBy(doc_id, "run").orderBy(at).rangeBetween(step, step)
-    return positions.withColumn("later", F.first("bucket").over(there)).where("later is not null")
+    out = []
+    for size, low, high in BLOCKS:
+        d = GRID * -F.col("k")
+        phase = F.explode(F.sequence(F.lit(low), F.lit(high))).alias("phase")
+        x = blocks.where((F.col("size") == size) & (F.col("k") <= 0)).select("*", phase).where((d + F.col("phase")).between(F.col("least"), F.col("most")))
+        bits = lambda c, n: F.col(c).bitwiseAND(F.expr(f"shiftleft(1L, 8 * ({n})) - 1"))
+        start = x.select(doc_id.alias("doc_id"), (at - F.col("phase")).alias("at"), "bucket", (bits("before", "phase") + F.expr("shiftleft(bigint(phase), 56)")).alias("x"), bits(f"after_{size}", f"{LENGTH - size} - phase").alias("y"))
+        out.append(start.select(place.of().alias("place"), "bucket", "x", "y"))
+    return out[0].union(out[1])
 
 
 class Places:
@@ -274,9 +298,9 @@ def repeated_places(docs: DataFrame) -> DataFrame:
         texts = docs
     else:
         texts = docs.join(_sampled(docs).join(grams, "gram", "left_semi").groupBy("doc_id").agg(F.collect_list("at").alias("ats")), "doc_id")
-    units = stored(_units(texts, sent).select("key", "more", "gram", "n", place.of().alias("place")))
+    units = stored(_units(texts, sent).select("key", "more", "gram", "n", "lead", place.of().alias("place")))
     discard(grams)
-    firsts = stored(units.groupBy("key", "more").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.min("gram").alias("gram"), F.count("*").alias("copies")))
+    firsts = stored(units.groupBy("key", "more").agg(F.min("place").alias("first"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.min("gram").alias("gram"), F.count("*").alias("copies")))
     doc_id, at = place.parts("place")
     told = units.join(firsts.where("copies > 1").select("key", "more", "first"), ["key", "more"]).where("place > first")
     whole = stored(_listed(told.select(doc_id.alias("doc_id"), at.alias("at"), (F.col("n") + LENGTH - 1).cast("long").alias("bytes"))))
@@ -284,16 +308,23 @@ def repeated_places(docs: DataFrame) -> DataFrame:
 
     split = firsts.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1").select("gram")
     doc_id, at = place.parts("first")
-    single = firsts.join(split, "gram", "left_semi").select(doc_id.alias("doc_id"), at.alias("at"), "n")
-    single = stored(single.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("units")))
+    single = firsts.join(split, "gram", "left_semi").select(doc_id.alias("doc_id"), at.alias("at"), "n", "lead")
+    single = stored(single.groupBy("doc_id").agg(F.collect_list(F.struct("at", "n", "lead")).alias("units")))
     discard(firsts)
     texts = docs.join(single, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("version"), "units")
-    positions = stored(_refined(_grams(texts).select("key", "more", place.of().alias("place"), "run"), ["key", "more"]))
+    grid = _grid(texts)
+    grams = stored(_refined(grid.select(place.of().alias("place"), *(c for c in grid.columns if c not in ("doc_id", "at"))), ["key", "more"]))
     discard(single)
-    for step in STEPS:
-        finer = stored(_refined(_later(positions, place, step), ["bucket", "later"]))
-        discard(positions)
-        positions = finer
+    pairs = stored(_refined(grams.withColumn("later", _later(place, GRAM)).where("later is not null"), ["bucket", "later"]))
+    discard(grams)
+    ends = F.explode(F.array(*(F.struct(F.lit(size).alias("size"), F.col(f"_{size}").alias("later")) for size, _, _ in BLOCKS)))
+    blocks = pairs.withColumns({f"_{size}": _later(place, size - 2 * GRAM) for size, _, _ in BLOCKS}).where("k <= 0").withColumn("_end", ends)
+    blocks = blocks.withColumns({"size": F.col("_end.size"), "later": F.col("_end.later")}).where("later is not null").drop("_end", *(f"_{size}" for size, _, _ in BLOCKS))
+    # Blocks of both sizes may have one pair of buckets, so the size is part of the key and kept beside it.
+    blocks = stored(_refined(blocks.withColumn("_size", F.col("size")), ["bucket", "later", "_size"]))
+    discard(pairs)
+    positions = stored(_refined(_strings(blocks, place), ["bucket", "x", "y"]))
+    discard(blocks)
     doc_id, at = place.parts("place")
     parts = positions.where("place > bucket").select(doc_id.alias("doc_id"), at.alias("at"), F.lit(LENGTH).cast("long").alias("bytes"))
     return whole.union(_listed(parts))
