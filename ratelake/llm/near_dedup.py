@@ -2,7 +2,7 @@
 
 1. Every text becomes its set of hashed five-word shingles and a signature of minima under ``HASHES`` hash functions.
    Texts with equal sets are one class from here on, so copies, however many, cost one member.
-2. Signatures are cut into bands; classes that share a band are candidates. In each of ``PIVOTS`` rounds every class of
+2. Signatures are cut into bands; classes that share a band are candidates. In each of up to ``PIVOTS`` rounds every class of
    a bucket is paired with one pivot alone, unless both are in one component by then: the class that shares buckets with
    the most others, of those not yet in an earlier pivot's component. In a last round, classes that still are not in the
    component of their bucket's first pivot meet the rest in two ways. Classes that share a rare shingle, one that at
@@ -39,6 +39,8 @@ SHINGLE, PERCENT = 5, 75
 HASHES, BANDS, BATCH, MISS, PIVOTS = 128, 32, 32, 1e-6, 4
 #: A set of ids up to this many is sent to every task (8 bytes each); a larger one is joined by shuffle.
 SENT_IDS = 2_000_000
+#: Rounds go on while one in so many of their pairs is a link.
+FRUITFUL = 8
 #: A shingle that at most so many classes have is rare: pairing those that share it makes few pairs for each.
 RARE = 8
 #: Bins of set sizes to a factor e.
@@ -224,28 +226,35 @@ def _shingles(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("shingle", T.LongType())]))
 
 
-def _rare(ids: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the shingles that at most ``RARE`` of ``ids`` have: their number by id, and the ids that share one (an array of at most RARE)."""
-    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+def _rare(named: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of the shingles that at most ``RARE`` of the ids of ``named`` have: their number by id, and (id, shingle) of those that several have."""
+    few = named.select("id")
+    few = F.broadcast(few) if few.count() <= SENT_IDS else few
     shingles = _shingles(texts.join(few, "id", "left_semi"))
     counted = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") <= RARE))
     several = counted.where("n > 1").select("shingle")
     several = F.broadcast(several) if several.count() <= SENT_IDS else several
-    shared = stored(shingles.join(several, "shingle", "left_semi").groupBy("shingle").agg(F.collect_set("id").alias("ids")).select("ids"))
-    numbers = counted.where("n = 1").select("id").union(shared.select(F.explode("ids"))).groupBy("id").agg(F.count("*").alias("rare"))
-    return numbers, shared
+    rows = stored(shingles.join(several, "shingle", "left_semi").select("id", "shingle"))
+    return counted.where("n = 1").select("id").union(rows.select("id")).groupBy("id").agg(F.count("*").alias("rare")), rows
 
 
-def _reach(ids: DataFrame, sizes: DataFrame, rare: DataFrame) -> DataFrame:
-    """(id, least, most, reach): size of the set, and that of the largest set it may link to without a rare shingle in common.
+def _reach(named: DataFrame, rare: DataFrame) -> DataFrame:
+    """``named`` with free, the number of shingles that are not rare, and reach, the size of the largest set that an id may link to without a rare shingle in common.
 
-    Of n shingles p are rare; then at most n - p are common with a set of m, so that PERCENT needs
-    (100 + PERCENT) * (n - p) >= PERCENT * (n + m). For ids of several texts p counts as 0.
+    With p common shingles at most, PERCENT needs (100 + PERCENT) * p >= PERCENT * (n + m) for sets of n and m. For ids
+    of several texts all shingles are free.
     """
-    few = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
-    known = sizes.join(few, "id", "left_semi").join(rare, "id", "left")
-    one = F.expr(f"((100 + {PERCENT}) * (least - coalesce(rare, 0)) - {PERCENT} * least) div {PERCENT}")
-    return known.withColumn("reach", F.when(F.col("texts") == 1, one).otherwise(F.expr(f"100 * most div {PERCENT}")))
+    free = F.when(F.col("texts") == 1, F.col("least") - F.coalesce("rare", F.lit(0))).otherwise(F.col("most"))
+    return named.join(rare, "id", "left").withColumn("free", free).withColumn("reach", F.expr(f"((100 + {PERCENT}) * free - {PERCENT} * least) div {PERCENT}"))
+
+
+def _sharing(known: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) that share rare shingles and may link: what they share of those and the smaller number of their other ones bound what is common."""
+    told = rows.join(known.select("id", F.struct("id", "of", "least", "most", "free").alias("one")), "id")
+    lists = told.groupBy("shingle").agg(F.array_sort(F.collect_set("one")).alias("ones"))
+    others = F.expr(f"filter(slice(ones, k + 2, size(ones)), x -> x.of <> one.of and 100 * x.most >= {PERCENT} * one.least and 100 * one.most >= {PERCENT} * x.least)")
+    pairs = lists.select(F.posexplode("ones").alias("k", "one"), "ones").select("one", F.explode(others).alias("other")).groupBy("one", "other").agg(F.count("*").alias("n"))
+    return _pairs(pairs.where(f"(100 + {PERCENT}) * (least(one.free, other.free) + n) >= {PERCENT} * (one.least + other.least)"), "one.id", "other.id")
 
 
 def _bin(n: Column) -> Column:
@@ -259,16 +268,11 @@ def _fitting(known: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """
     open_ = known.where("of <> first_of").select("band").distinct()
     known = stored(known.join(open_, "band", "left_semi"))
-    ids = stored(known.select("id").distinct())
-    rare, shared = _rare(ids, texts)
-    reach = stored(_reach(ids, sizes, rare))
-    named = reach.join(known.groupBy("id").agg(F.min("of").alias("of")), "id")
-    near = shared.select(F.posexplode("ids").alias("k", "a"), "ids").select("a", F.explode(F.expr("slice(ids, k + 2, size(ids))")).alias("b"))
-    near = _pairs(near, "a", "b")
-    for side in "ab":
-        near = near.join(named.select(*(F.col(c).alias(f"{side}_{c}") for c in ("id", "of", "least", "most"))).withColumnRenamed(f"{side}_id", side), side)
-    near = near.where(f"a_of <> b_of and 100 * a_most >= {PERCENT} * b_least and 100 * b_most >= {PERCENT} * a_least").select("a", "b")
-    known = known.join(reach.where(f"100 * reach >= {PERCENT} * least"), "id")
+    named = stored(known.groupBy("id").agg(F.min("of").alias("of")).join(sizes, "id"))
+    rare, rows = _rare(named, texts)
+    reach = stored(_reach(named, rare))
+    near = _sharing(reach, rows)
+    known = known.join(reach.select("id", "least", "most", "reach").where(f"100 * reach >= {PERCENT} * least"), "id")
     apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), F.col("least").alias("a_least"), F.col("reach").alias("a_reach"), F.explode(F.sequence(_bin(F.ceil(F.col("least") * PERCENT / 100)), _bin(F.col("reach")))).alias("bin"))
     rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"), "first_of", F.col("least").alias("b_least"), F.col("reach").alias("b_reach"), F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
     # Two that both stand apart come once.
@@ -295,12 +299,12 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
     degrees = banded.groupBy("id").agg(F.sum("n").alias("degree"))
     known = stored(banded.join(degrees, "id").select("band", "id", "degree", F.col("id").alias("of"), F.lit(False).alias("met"), F.lit(None).cast(members.schema["id"].dataType).alias("first")))
     discard(banded)
-    links = found = None
+    links, found, n_links = None, None, 0
     for _ in range(PIVOTS):
         pivots = known.where("not met").groupBy("band").agg(F.max_by(F.struct("id", "of"), F.struct("degree", "id")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.of").alias("pivot_of"))
         pivots = stored(pivots)
         pairs = stored(_pairs(known.join(pivots, "band").where("of <> pivot_of"), "id", "pivot"))
-        if not pairs.limit(1).count():
+        if not (n_pairs := pairs.count()):
             discard(pivots, pairs)
             break
         likely = stored(_prune(pairs, members))
@@ -310,7 +314,9 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
         links, found = both, components(both)
         told = stored(_met(known, pivots, found))
         discard(known, pivots)
-        known = told
+        known, before, n_links = told, n_links, links.count()
+        if n_links - before < n_pairs / FRUITFUL:
+            break  # what is left are mostly single classes, which the last round compares with less effort
     if found is not None:
         # Only who is not in the component of the bucket's first pivot meets the rest of the bucket.
         name = found.select(F.col("id").alias("first"), F.col("component").alias("first_in"))
