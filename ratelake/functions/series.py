@@ -54,5 +54,48 @@ def bar_strength() -> Column:
     return safe_ratio(F.col("close") - F.col("low"), F.col("high") - F.col("low"))
 
 
-def to_tick(price: Column, tick: float) -> Column:
-    return F.round(price / tick) * tick
+def guarded(agg: Column, x: str, w: WindowSpec, least: int) -> Column:
+    """A window aggregate where the window has at least so many values."""
+    return F.when(F.count(x).over(w) >= least, agg)
+
+
+def window_z(x: str, n: int, least: int, population: bool = False) -> Column:
+    """Distance from the mean of the last n rows, the current one among them, in their deviations."""
+    w = trailing(n)
+    sd = F.stddev_pop(x) if population else F.stddev_samp(x)
+    return guarded(safe_ratio(F.col(x) - F.avg(x).over(w), sd.over(w)), x, w, least)
+
+
+def rolling_rank(x: str, n: int) -> Column:
+    """Percent of the other values of the last n rows that lie below, from max(5, n / 4) values on."""
+    seen, w = F.collect_list(x).over(prior(n - 1)), trailing(n)
+    return guarded(100.0 * F.size(F.filter(seen, lambda v: v < F.col(x))) / F.nullif(F.size(seen), F.lit(0)), x, w, max(5, n // 4))
+
+
+def middle(n: int) -> Column:
+    """Mean of the highest high and the lowest low of n rows."""
+    w = trailing(n)
+    return F.when(F.count("high").over(w) >= n, (F.max("high").over(w) + F.min("low").over(w)) / 2)
+
+
+def swing(x: str, sign: int, k: int = 5) -> Column:
+    """Whether a value is strictly beyond those of k rows on either side, all of which must exist."""
+    before, after = ordered().rowsBetween(-k, -1), ordered().rowsBetween(1, k)
+    v = sign * F.col(x)
+    full = (F.count(x).over(before) == k) & (F.count(x).over(after) == k)
+    return full & (v > F.max(v).over(before)) & (v > F.max(v).over(after))
+
+
+def streaks(x, flag: str, by: str = "symbol", at: str = "bar_date"):
+    """The table with ``streak``: how many rows in a row, up to this one, have had the flag; 0 where it is not set."""
+    place = F.row_number().over(ordered(by, at))
+    x = x.withColumn("_place", place)
+    last_off = F.max(F.when(~F.coalesce(F.col(flag), F.lit(False)), F.col("_place"))).over(ordered(by, at).rowsBetween(W.unboundedPreceding, 0))
+    return x.withColumn("streak", F.col("_place") - F.coalesce(last_off, F.lit(0))).drop("_place")
+
+
+def touches(x: str, n: int, reach: Column, high: bool) -> Column:
+    """How many of the prior n values lie within ``reach`` of their own extreme."""
+    seen = F.collect_list(x).over(prior(n))
+    ends = F.array_max(seen) if high else F.array_min(seen)
+    return F.size(F.filter(seen, lambda v: F.abs(v - ends) <= reach))

@@ -30,6 +30,16 @@ def weighted_regression(x: DataFrame, keys: list[str]) -> DataFrame:
     return s.select(*keys, "n", safe_ratio(xy, xx).alias("slope"), safe_ratio(xy * xy, xx * yy).alias("r_squared"))
 
 
+def false_discoveries(tests: DataFrame, p: str, tie: str, alpha: float) -> DataFrame:
+    """Benjamini-Hochberg: place by p, and whether it is not behind the last place i of n with p <= alpha * i / n.
+
+    One row per test: few, whatever lies below them.
+    """
+    x = tests.withColumns({"place": F.row_number().over(W.partitionBy().orderBy(p, tie)), "_n": F.count("*").over(W.partitionBy())})
+    last = F.max(F.when(F.col(p) <= alpha * F.col("place") / F.col("_n"), F.col("place"))).over(W.partitionBy())
+    return x.withColumn("below", F.col("place") <= F.coalesce(last, F.lit(0))).drop("_n")
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """The k nearest vectors (Euclidean) to each of a stated set of queries, itself left out; ties by id.
 
@@ -40,3 +50,44 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     best = F.row_number().over(W.partitionBy("query_id").orderBy("d2", "vec_id"))
     x = pairs.select("query_id", "vec_id", F.round(squared, 6).alias("d2"))
     return x.withColumn("place", best).where(F.col("place") <= k)
+
+
+def lagged_fit(bars: DataFrame, n: int, least: int, x: str = "close") -> DataFrame:
+    """Per symbol, over its last n rows before the latest: fit of x on its prior value and what follows from it for an Ornstein-Uhlenbeck process.
+
+    Null below ``least`` pairs; kappa is 0 and the half-life null where the slope is not within (0, 1).
+    """
+    back = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bar_date")))
+    recent = bars.withColumn("_back", back).where((F.col("_back") > 1) & (F.col("_back") <= n + 1))
+    pairs = recent.select("symbol", F.col(x).alias("y"), F.lag(x).over(ordered()).alias("x")).where("x is not null")
+    fit = pairs.groupBy("symbol").agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("level"), F.regr_syy("y", "x").alias("syy"), F.regr_sxx("y", "x").alias("sxx")).where(F.col("n") >= least)
+    b = F.col("slope")
+    fit = fit.withColumn("inside", (b > 0) & (b < 1))
+    kappa = F.when(F.col("inside"), -F.log("slope")).otherwise(0.0)
+    left = F.greatest(F.col("syy") - b * b * F.col("sxx"), F.lit(0.0))
+    return fit.select("symbol", "n", "slope", kappa.alias("kappa"), F.when(F.col("inside"), F.log(F.lit(2.0)) / -F.log("slope")).alias("half_life"), safe_ratio(F.col("level"), 1 - b).alias("mean"), F.sqrt(left / (F.col("n") - 2)).alias("sigma"), safe_ratio(b - 1, F.sqrt(left / (F.col("n") - 2) / F.col("sxx"))).alias("t_unit_root"))
+
+
+def variance_ratio_test(bars: DataFrame, n: int, q: int, least: int, x: str = "close") -> DataFrame:
+    """Per symbol, over its last n rows: variance ratio of overlapping q-step changes, its z without heteroskedasticity, and whether |z| is beyond 1.96."""
+    back = F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("bar_date")))
+    w = ordered()
+    recent = bars.withColumn("_back", back).where(F.col("_back") <= n)
+    d = recent.select("symbol", (F.col(x) - F.lag(x).over(w)).alias("d1"), (F.col(x) - F.lag(x, q).over(w)).alias("dq"))
+    s = d.groupBy("symbol").agg(F.count("d1").alias("n"), F.avg("d1").alias("m"), F.sum(F.col("d1") * F.col("d1")).alias("s1"), F.sum(F.pow(F.col("dq"), 2)).alias("s2"), F.sum("dq").alias("sq"), F.count("dq").alias("k"))
+    s = s.where(F.col("n") >= least)
+    one = (F.col("s1") - F.col("n") * F.col("m") * F.col("m")) / (F.col("n") - 1)
+    many = (F.col("s2") - 2 * q * F.col("m") * F.col("sq") + F.col("k") * (q * F.col("m")) ** 2) / (q * (F.col("n") - q + 1) * (1 - q / F.col("n")))
+    s = s.withColumn("ratio", safe_ratio(many, one))
+    z = (F.col("ratio") - 1) / F.sqrt(2 * (2 * q - 1) * (q - 1) / (3 * q * F.col("n")))
+    return s.select("symbol", "n", "ratio", z.alias("z"), (F.abs(z) > 1.96).alias("reject"))
+
+
+def robust_fit(x: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key: slope of y on x with its error, t and R squared, share of rows whose sign the slope gives, and the score of the three."""
+    fit = x.groupBy(*keys).agg(F.count("*").alias("n"), F.regr_slope("y", "x").alias("slope"), F.regr_r2("y", "x").alias("r_squared"), F.regr_sxx("y", "x").alias("sxx"), F.regr_syy("y", "x").alias("syy"), F.stddev_pop("y").alias("sy"), F.stddev_pop("x").alias("sx"), F.avg((F.signum("x") == F.signum("y")).cast("int")).alias("alike"), F.avg((F.signum("x") == -F.signum("y")).cast("int")).alias("unlike"))
+    left = F.greatest(F.col("syy") - F.col("slope") * F.col("slope") * F.col("sxx"), F.lit(0.0)) / (F.col("n") - 2)
+    fit = fit.where("n > 2 and sxx > 0").withColumn("error", F.sqrt(left / F.col("sxx")))
+    hit = F.when(F.col("slope") >= 0, F.col("alike")).otherwise(F.col("unlike"))
+    beta = F.least(F.lit(1.0), F.abs(F.col("slope") * safe_ratio(F.col("sx"), F.col("sy"))))
+    return fit.select(*keys, "n", "slope", "error", safe_ratio(F.col("slope"), F.col("error")).alias("t"), "r_squared", hit.alias("hit_rate"), (0.4 * beta + 0.3 * F.col("r_squared") + 0.3 * hit).alias("score"))

@@ -21,11 +21,11 @@ def first_touch(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
 
 
 def drawdowns(pnl: DataFrame, by: str, at: str) -> DataFrame:
-    """Running equity of each group, its peak and the distance below it."""
+    """Running equity of each group, its highest and lowest so far, and the distances from these."""
     run = W.partitionBy(by).orderBy(at).rowsBetween(W.unboundedPreceding, 0)
     x = pnl.withColumn("equity", F.sum("pnl").over(run))
-    x = x.withColumn("peak", F.greatest(F.max("equity").over(run), F.lit(0.0)))
-    return x.withColumn("drawdown", F.col("equity") - F.col("peak"))
+    x = x.withColumns({"peak": F.max("equity").over(run), "trough": F.min("equity").over(run)})
+    return x.withColumns({"drawdown": F.col("equity") - F.col("peak"), "updraw": F.col("equity") - F.col("trough")})
 
 
 def longest_runs(x: DataFrame, by: str, at: str, flag: str) -> DataFrame:
@@ -49,3 +49,44 @@ def metric_pack(pnl: str = "pnl") -> list[Column]:
         F.when(loss > 0, gain / loss).alias("profit_factor"),
         F.when(F.stddev_pop(p) > 0, F.avg(p) / F.stddev_pop(p) * F.sqrt(F.lit(252.0))).alias("sharpe"),
     ]
+
+
+def simulate(fires: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
+    """Exit of each fire (symbol, i, side, risk): in at the next bar's open, stop and targets at one and two times ``risk`` from there.
+
+    From the bar after the entry on, the stop counts before the second target and that before the first; after ``horizon``
+    bars, or with the last bar, the trade ends at the close. A fire on the last bar has no entry and gives no row. Bars
+    have symbol, i, open, high, low and close. ``worst`` and ``best`` are the excursions while held, in units of risk.
+    """
+    sign = F.when(F.col("side") == "SHORT", -1).otherwise(1)
+    entry = bars.select("symbol", (F.col("i") - 1).alias("i"), F.col("open").alias("entry"))
+    e = fires.join(entry, ["symbol", "i"]).withColumn("sign", sign)
+    path = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("j", F.col("i") + 1 + F.col("k"))
+    x = path.join(bars.select("symbol", F.col("i").alias("j"), "low", "high", "close"), ["symbol", "j"])
+    against = F.when(F.col("sign") > 0, F.col("entry") - F.col("low")).otherwise(F.col("high") - F.col("entry")) / F.col("risk")
+    along = F.when(F.col("sign") > 0, F.col("high") - F.col("entry")).otherwise(F.col("entry") - F.col("low")) / F.col("risk")
+    reason = F.when(against >= 1, "stop").when(along >= 2, "target_2").when(along >= 1, "target_1").when(F.col("k") == horizon, "time")
+    at_close = F.col("sign") * (F.col("close") - F.col("entry")) / F.col("risk")
+    gain = F.when(reason == "stop", -1.0).when(reason == "target_2", 2.0).when(reason == "target_1", 1.0).otherwise(at_close)
+    x = x.withColumns({"reason": reason, "gain": gain, "against": against, "along": along})
+    ended = F.min(F.when(F.col("reason").isNotNull(), F.col("k"))).over(W.partitionBy("symbol", "i", "side"))
+    held = x.withColumn("ended", ended).where("k <= coalesce(ended, k)")
+    return held.groupBy("symbol", "i", "side").agg(F.max("k").alias("held"), F.coalesce(F.max_by("reason", "k"), F.lit("open")).alias("reason"), F.max_by("gain", "k").alias("gain"), F.max("against").alias("worst"), F.max("along").alias("best"))
+
+
+def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
+    """Aggregates of trades: counts, shares, sums, averages of each side, ratios, moments, quantiles, in money and in units of risk."""
+    p, x = F.col(pnl), F.col(pnl) / F.col(risk)
+    up, down = F.when(p > 0, p), F.when(p < 0, p)
+    gain, loss, n = F.sum(up), -F.sum(down), F.count("*")
+    mean, sd = F.avg(p), F.stddev_pop(p)
+    below = F.sqrt(F.avg(F.pow(F.least(p, F.lit(0.0)), 2)))
+    return [
+        n.alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.count_if(p == 0).alias("even"),
+        (100.0 * F.count_if(p > 0) / n).alias("win_pct"), F.sum(p).alias("total"), mean.alias("mean"), F.median(p).alias("median"), sd.alias("deviation"),
+        gain.alias("gain"), loss.alias("loss"), F.avg(up).alias("mean_win"), (-F.avg(down)).alias("mean_loss"), F.max(p).alias("best"), F.min(p).alias("worst"),
+        F.when(loss > 0, gain / loss).alias("profit_factor"), F.when(F.avg(down) < 0, -F.avg(up) / F.avg(down)).alias("payoff"), mean.alias("expectancy"),
+        F.when(sd > 0, mean / sd * F.sqrt(F.lit(252.0))).alias("sharpe"), F.when(below > 0, mean / below * F.sqrt(F.lit(252.0))).alias("sortino"),
+        F.avg(x).alias("mean_r"), F.median(x).alias("median_r"), F.sum(x).alias("total_r"), F.stddev_pop(x).alias("deviation_r"), F.count_if(x >= 1).alias("above_1r"), F.count_if(x >= 2).alias("above_2r"), F.count_if(x <= -1).alias("below_1r"),
+        *(F.percentile(p, F.lit(q / 100)).alias(f"p{q}") for q in (5, 25, 75, 95)),
+    ]

@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratelake.functions import series as S
 from ratelake.operators import estimators, joins, smoothing, trades
+from ratelake.plans import contracts, indicators, studies  # noqa: F401  they register their queries
+from ratelake.plans.registry import BARS, ORACLE_SQL, QUERIES, SERIES, TRADES, prior, query, r, trailing  # noqa: F401
 from ratelake.sources.bars import event_bars, order_bars, table
 
 FLAGSHIP = "prior_z_score"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-BARS = """bars AS (SELECT o_orderpriority AS symbol, o_orderdate::DATE AS bar_date, min_by(o_totalprice, o_orderkey) AS open, max(o_totalprice) AS high, min(o_totalprice) AS low, max_by(o_totalprice, o_orderkey) AS close, count(*) AS volume FROM orders GROUP BY 1, 2)"""
-SERIES = "(PARTITION BY symbol ORDER BY bar_date)"
-TRADES = "trades AS (SELECT l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_shipdate::DATE AS day, round(l_extendedprice * (0.05 - l_discount), 4) AS pnl FROM lineitem)"
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def prior(n: int) -> str:
-    return f"(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-
-
-def trailing(n: int) -> str:
-    return f"(PARTITION BY symbol ORDER BY bar_date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-
-
-def r(c, name: str, digits: int = 6):
-    return F.round(c, digits).alias(name)
-
-
 @query("""SELECT event_type AS symbol, date_trunc('hour', ts) AS bar_time, arg_min(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2""")
 def hourly_bars(spark, root):
     return event_bars(spark, root)
@@ -117,18 +87,16 @@ def lead_lag_correlation(spark, root):
 
 @query(f"""WITH {BARS} SELECT o.o_orderkey, o.o_orderdate::DATE AS bar_date, CASE WHEN o.o_orderdate::DATE - b.bar_date <= 14 THEN b.close END AS close, CASE WHEN o.o_orderdate::DATE - b.bar_date <= 14 THEN b.bar_date END AS close_at FROM (SELECT *, o_orderdate::DATE AS d FROM orders) o ASOF LEFT JOIN (SELECT * FROM bars WHERE symbol = '1-URGENT' AND volume > 1) b ON o.d >= b.bar_date""")
 def as_of_close(spark, root):
-    bars = order_bars(spark, root).where("symbol = '1-URGENT' and volume > 1").select(F.lit(1).alias("market"), "bar_date", "close")
-    orders = table(spark, root, "orders").select(F.lit(1).alias("market"), "o_orderkey", F.to_date("o_orderdate").alias("bar_date"))
-    # One series for all orders: its range of days is cut into years, each with the last close before it, so no task holds them all.
-    year = lambda x: x.withColumn("part", F.year("bar_date"))
-    carried = year(bars).groupBy("market", "part").agg(F.max_by("close", "bar_date").alias("close"), F.max("bar_date").alias("bar_date")).select("market", (F.col("part") + 1).alias("part"), "bar_date", "close")
-    right = year(bars).unionByName(carried).dropDuplicates(["market", "part", "bar_date"])
-    return joins.as_of(year(orders), right, ["market", "part"], "bar_date", "close", 14).select("o_orderkey", "bar_date", "close", "close_at")
+    bars = order_bars(spark, root).where("symbol = '1-URGENT' and volume > 1").select("bar_date", "close")
+    orders = table(spark, root, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("bar_date"))
+    # One row for each day of the calendar, so orders meet it in a join on the day, whatever their number.
+    days = joins.as_of(orders.select(F.lit(1).alias("market"), "bar_date").distinct(), bars.withColumn("market", F.lit(1)), ["market"], "bar_date", "close", 14)
+    return orders.join(days.drop("market"), "bar_date", "left").select("o_orderkey", "bar_date", "close", "close_at")
 
 
-@query("""WITH chain AS (SELECT p_brand, p_size, round(avg(p_retailprice), 4) AS price FROM part WHERE p_size % 7 = 3 GROUP BY 1, 2), targets AS (SELECT b.p_brand, t.p_size FROM (SELECT DISTINCT p_brand FROM chain) b, (SELECT unnest([1, 5, 10, 17, 22, 30, 45, 50]) AS p_size) t) SELECT t.p_brand, t.p_size, round(lo.price, 4) AS lower, round(hi.price, 4) AS upper, round(CASE WHEN hi.p_size > lo.p_size THEN (t.p_size - lo.p_size) / (hi.p_size - lo.p_size) WHEN lo.p_size IS NOT NULL AND hi.p_size IS NULL THEN 0 WHEN hi.p_size IS NOT NULL AND lo.p_size IS NULL THEN 1 END, 6) AS weight FROM targets t LEFT JOIN chain lo ON lo.p_brand = t.p_brand AND lo.p_size = (SELECT max(c.p_size) FROM chain c WHERE c.p_brand = t.p_brand AND c.p_size <= t.p_size) LEFT JOIN chain hi ON hi.p_brand = t.p_brand AND hi.p_size = (SELECT min(c.p_size) FROM chain c WHERE c.p_brand = t.p_brand AND c.p_size > t.p_size)""")
+@query("""WITH chain AS (SELECT p_brand, p_size, round(avg(p_retailprice), 4) AS price FROM part GROUP BY 1, 2), targets AS (SELECT b.p_brand, t.p_size FROM (SELECT DISTINCT p_brand FROM chain) b, (SELECT unnest([1, 5, 10, 17, 22, 30, 45, 50]) AS p_size) t) SELECT t.p_brand, t.p_size, round(lo.price, 4) AS lower, round(hi.price, 4) AS upper, round(CASE WHEN hi.p_size > lo.p_size THEN (t.p_size - lo.p_size) / (hi.p_size - lo.p_size) WHEN lo.p_size IS NOT NULL AND hi.p_size IS NULL THEN 0 WHEN hi.p_size IS NOT NULL AND lo.p_size IS NULL THEN 1 END, 6) AS weight FROM targets t LEFT JOIN chain lo ON lo.p_brand = t.p_brand AND lo.p_size = (SELECT max(c.p_size) FROM chain c WHERE c.p_brand = t.p_brand AND c.p_size <= t.p_size) LEFT JOIN chain hi ON hi.p_brand = t.p_brand AND hi.p_size = (SELECT min(c.p_size) FROM chain c WHERE c.p_brand = t.p_brand AND c.p_size > t.p_size)""")
 def tenor_brackets(spark, root):
-    chain = table(spark, root, "part").where("p_size % 7 = 3").groupBy("p_brand", "p_size").agg(r(F.avg("p_retailprice"), "price", 4))
+    chain = table(spark, root, "part").groupBy("p_brand", "p_size").agg(r(F.avg("p_retailprice"), "price", 4))
     targets = chain.select("p_brand").distinct().withColumn("p_size", F.explode(F.array(*map(F.lit, (1, 5, 10, 17, 22, 30, 45, 50)))))
     return joins.bracket(targets, chain, ["p_brand"], "p_size", "price").select("p_brand", "p_size", "lower", "upper", r(F.col("weight"), "weight"))
 
@@ -189,11 +157,11 @@ def calendar_slices(spark, root):
     return rounded_pack(x.agg(*trades.metric_pack())).drop("mean")  # of a few trades it may lie between two rounded values
 
 
-@query(f"""WITH {TRADES}, d AS (SELECT l_returnflag, day, sum(pnl) AS pnl FROM trades GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER (PARTITION BY l_returnflag ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM d), p AS (SELECT *, equity - greatest(max(equity) OVER (PARTITION BY l_returnflag ORDER BY day ROWS UNBOUNDED PRECEDING), 0) AS dd FROM e) SELECT l_returnflag, round(min(dd), 4) AS worst, round(avg(dd) FILTER (dd < -0.005), 2) AS mean_down, count(*) AS days FROM p GROUP BY 1""")
+@query(f"""WITH {TRADES}, d AS (SELECT l_returnflag, day, sum(pnl) AS pnl FROM trades GROUP BY 1, 2), e AS (SELECT *, sum(pnl) OVER (PARTITION BY l_returnflag ORDER BY day ROWS UNBOUNDED PRECEDING) AS equity FROM d), p AS (SELECT *, equity - max(equity) OVER (PARTITION BY l_returnflag ORDER BY day ROWS UNBOUNDED PRECEDING) AS dd, equity - min(equity) OVER (PARTITION BY l_returnflag ORDER BY day ROWS UNBOUNDED PRECEDING) AS ud FROM e) SELECT l_returnflag, round(min(dd), 4) AS worst, round(max(ud), 4) AS best, round(avg(dd) FILTER (dd < -0.005), 2) AS mean_down, count(*) AS days FROM p GROUP BY 1""")
 def drawdown_stats(spark, root):
     daily = trade_rows(spark, root).groupBy("l_returnflag", "day").agg(F.sum("pnl").alias("pnl"))
     x = trades.drawdowns(daily, "l_returnflag", "day")
-    return x.groupBy("l_returnflag").agg(r(F.min("drawdown"), "worst", 4), r(F.avg(F.when(F.col("drawdown") < -0.005, F.col("drawdown"))), "mean_down", 2), F.count("*").alias("days"))
+    return x.groupBy("l_returnflag").agg(r(F.min("drawdown"), "worst", 4), r(F.max("updraw"), "best", 4), r(F.avg(F.when(F.col("drawdown") < -0.005, F.col("drawdown"))), "mean_down", 2), F.count("*").alias("days"))
 
 
 @query(f"""WITH {BARS}, f AS (SELECT symbol, bar_date, close > open AS up, row_number() OVER {SERIES} - row_number() OVER (PARTITION BY symbol, close > open ORDER BY bar_date) AS island FROM bars), n AS (SELECT symbol, up, count(*) AS k FROM f GROUP BY symbol, up, island) SELECT symbol, coalesce(max(k) FILTER (up), 0) AS longest_true, coalesce(max(k) FILTER (NOT up), 0) AS longest_false FROM n GROUP BY 1""")
@@ -201,10 +169,10 @@ def longest_runs(spark, root):
     return trades.longest_runs(order_bars(spark, root).withColumn("up", F.col("close") > F.col("open")), "symbol", "bar_date", "up")
 
 
-@query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER {SERIES} AS i FROM bars), e AS (SELECT symbol, i, close * 0.5 AS stop, close * 1.5 AS target FROM n WHERE i % 20 = 0), p AS (SELECT e.symbol, e.i, b.i - e.i AS k, CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' WHEN b.i - e.i = 10 THEN 'time' END AS reason, CASE WHEN low <= stop THEN stop WHEN high >= target THEN target ELSE close END AS price FROM e JOIN n b ON b.symbol = e.symbol AND b.i BETWEEN e.i + 1 AND e.i + 10) SELECT symbol, i, min(k)::INTEGER AS held, min_by(reason, k) AS reason, round(min_by(price, k), 4) AS exit_price FROM p WHERE reason IS NOT NULL GROUP BY 1, 2""")
+@query(f"""WITH {BARS}, n AS (SELECT *, row_number() OVER {SERIES} AS i FROM bars), e AS (SELECT symbol, i, close * 0.5 AS stop, close * 1.5 AS target FROM n), p AS (SELECT e.symbol, e.i, b.i - e.i AS k, CASE WHEN low <= stop THEN 'stop' WHEN high >= target THEN 'target' WHEN b.i - e.i = 10 THEN 'time' END AS reason, CASE WHEN low <= stop THEN stop WHEN high >= target THEN target ELSE close END AS price FROM e JOIN n b ON b.symbol = e.symbol AND b.i BETWEEN e.i + 1 AND e.i + 10) SELECT symbol, i, min(k)::INTEGER AS held, min_by(reason, k) AS reason, round(min_by(price, k), 4) AS exit_price FROM p WHERE reason IS NOT NULL GROUP BY 1, 2""")
 def trade_exits(spark, root):
     bars = order_bars(spark, root).withColumn("i", F.row_number().over(S.ordered()))
-    entries = bars.where("i % 20 = 0").select("symbol", "i", (F.col("close") * 0.5).alias("stop"), (F.col("close") * 1.5).alias("target"))
+    entries = bars.select("symbol", "i", (F.col("close") * 0.5).alias("stop"), (F.col("close") * 1.5).alias("target"))
     return trades.first_touch(entries, bars, 10).withColumn("exit_price", F.round("exit_price", 4))
 
 
@@ -239,12 +207,13 @@ def state_quartiles(spark, root):
     return x.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"), r(p(0.5), "median", 4), r(p(0.25), "p25", 4), r(p(0.75), "p75", 4), r(F.avg(F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0)), "share"))
 
 
-@query("""WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT least(floor((value - lo) / (hi - lo) * 20), 19)::BIGINT AS bin, count(*) AS n FROM events, b GROUP BY 1""")
+@query("""WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 20), 19) END::BIGINT AS bin, count(*) AS n FROM events, b WHERE value IS NOT NULL GROUP BY 1""")
 def value_histogram(spark, root):
-    x = table(spark, root, "events").select("value")
+    x = table(spark, root, "events").select("value").where("value is not null")
     ends = x.agg(F.struct(F.min("value").alias("lo"), F.max("value").alias("hi")).alias("e"))
     x = x.withColumn("e", ends.scalar())
-    return x.groupBy(F.least(F.floor((F.col("value") - F.col("e.lo")) / (F.col("e.hi") - F.col("e.lo")) * 20), F.lit(19)).alias("bin")).agg(F.count("*").alias("n"))
+    bin_ = F.least(F.floor(S.safe_ratio(F.col("value") - F.col("e.lo"), F.col("e.hi") - F.col("e.lo")) * 20), F.lit(19))
+    return x.groupBy(F.coalesce(bin_, F.lit(0)).alias("bin")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {BARS}, z AS (SELECT symbol, bar_date, close, (close - avg(close) OVER w) / stddev_samp(close) OVER w AS z, row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back FROM bars WINDOW w AS {prior(50)}) SELECT symbol, bar_date, round(z, 6) AS z, CASE WHEN z < -1.5 THEN 'LONG' WHEN z > 1.5 THEN 'SHORT' ELSE 'NEAR' END AS state FROM z WHERE back <= 60 ORDER BY abs(z) DESC, symbol, bar_date LIMIT 25""")
@@ -267,13 +236,10 @@ def user_sessions(spark, root):
     return x.groupBy(F.session_window("ts", "6 hours"), "user_id").agg(F.count("*").alias("events")).select("user_id", F.col("session_window.start").alias("start"), "events")
 
 
-@query("""WITH t AS (SELECT c_mktsegment, n, mean, sd, 2 * (1 - 1 / (1 + exp(-1.702 * abs(mean - m) / (sd / sqrt(n))))) AS p FROM (SELECT c_mktsegment || '/' || c_nationkey AS c_mktsegment, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY ALL HAVING count(*) > 1), (SELECT avg(c_acctbal) AS m FROM customer)) SELECT c_mktsegment, n, round(p, 6) AS p, row_number() OVER (ORDER BY round(p, 6), c_mktsegment)::INTEGER AS place, round(p, 6) <= 0.2 * row_number() OVER (ORDER BY round(p, 6), c_mktsegment) / count(*) OVER () AS below FROM t""")
+@query("""WITH t AS (SELECT c_mktsegment, n, 2 * (1 - 1 / (1 + exp(-1.702 * abs(mean - m) / (sd / sqrt(n))))) AS p FROM (SELECT c_mktsegment || '/' || c_nationkey AS c_mktsegment, count(*) AS n, avg(c_acctbal) AS mean, stddev_samp(c_acctbal) AS sd FROM customer GROUP BY ALL HAVING count(*) > 1 AND stddev_samp(c_acctbal) > 0), (SELECT avg(c_acctbal) AS m FROM customer)), k AS (SELECT c_mktsegment, n, round(p, 6) AS p, (row_number() OVER (ORDER BY round(p, 6), c_mktsegment))::INTEGER AS place, count(*) OVER () AS tests FROM t) SELECT c_mktsegment, n, p, place, place <= coalesce((SELECT max(place) FROM k WHERE p <= 0.2 * place / tests), 0) AS below FROM k""")
 def false_discovery_steps(spark, root):
     x = table(spark, root, "customer").select(F.concat_ws("/", "c_mktsegment", "c_nationkey").alias("c_mktsegment"), "c_acctbal")
     middle = x.agg(F.avg("c_acctbal").alias("m"))
-    g = x.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean"), F.stddev_samp("c_acctbal").alias("sd")).where("n > 1").withColumn("m", middle.scalar())
+    g = x.groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.avg("c_acctbal").alias("mean"), F.stddev_samp("c_acctbal").alias("sd")).where("n > 1 and sd > 0").withColumn("m", middle.scalar())
     p = 2 * (1 - 1 / (1 + F.exp(-1.702 * F.abs(F.col("mean") - F.col("m")) / (F.col("sd") / F.sqrt("n")))))
-    g = g.select("c_mktsegment", "n", r(p, "p"))
-    # One row per group of customers: few, whatever the table's size.
-    place = F.row_number().over(W.partitionBy().orderBy("p", "c_mktsegment"))
-    return g.select("c_mktsegment", "n", "p", place.alias("place"), (F.col("p") <= 0.2 * place / F.count("*").over(W.partitionBy())).alias("below"))
+    return estimators.false_discoveries(g.select("c_mktsegment", "n", r(p, "p")), "p", "c_mktsegment", 0.2)
