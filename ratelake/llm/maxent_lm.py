@@ -39,7 +39,7 @@ from ratelake.llm.arrow_text import SLICE_BYTES, slices
 from ratelake.llm.shared_store import discard, stored
 
 #: Words with buckets of their own, hashed buckets after them, members of a class.
-OWN, HASHED, MEMBERS = 1792, 256, 32
+OWN, HASHED, MEMBERS = 512, 128, 16
 BUCKETS = OWN + HASHED
 CLASSES = BUCKETS // MEMBERS
 #: Fewest weight rows of all features for classes and for members, and how many times as many there may be.
@@ -261,9 +261,9 @@ def log10_chances(w: Weights, buckets: np.ndarray, borders: np.ndarray) -> np.nd
 
 def _descend(table: np.ndarray, squares: np.ndarray, rows: np.ndarray, error: np.ndarray) -> None:
     """One gradient step of the rows of a weight table, each with its own rate by its squared gradients so far."""
-    flat = rows.ravel()
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
+    # Rows and places in one number each, as plain numbers sort much faster than places by their rows.
+    flat = np.sort(rows.ravel().astype(np.uint64) << np.uint64(32) | np.arange(rows.size, dtype=np.uint64))
+    order, ranked = (flat & np.uint64(0xFFFFFFFF)).astype(np.int64), (flat >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     at = ranked[first]
     gradient = np.add.reduceat(error.take(order // FEATURES, 0), first, 0)

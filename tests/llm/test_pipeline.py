@@ -105,3 +105,12 @@ def test_rows_that_share_an_id_are_judged_one_by_one(spark, sf_dir):
     item = spark.read.parquet(f"{sf_dir}/benchmark.parquet").first()["text"]
     docs = spark.createDataFrame([(1, item, "en", "a", 1), (1, "clean", "en", "a", 1)], docs.schema)
     assert [r["text"] for r in steps["decontamination"](spark, docs, sf_dir).collect()] == ["clean"]
+
+
+def test_whole_tables(spark):
+    """Ten times the rows of the other tests, with texts of several scripts: every stage keeps most of what it gets."""
+    root = "/root/testdata/sf0.01"
+    rows = corpus_pipeline.run(spark, root).collect()
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id").collect()}
+    assert len(rows) == len({r["doc_id"] for r in rows}) and {r["doc_id"] for r in rows} <= ids and len(rows) > len(ids) / 2
+    assert abs(sum(r["taken"] for r in rows) - sum(r["size"] for r in rows)) <= 0.05 * sum(r["size"] for r in rows)
