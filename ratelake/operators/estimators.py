@@ -26,7 +26,7 @@ def variance_ratio(bars: DataFrame, q: int, x: str = "close") -> DataFrame:
 def weighted_regression(x: DataFrame, keys: list[str]) -> DataFrame:
     """Per key: slope and R squared of y on x with weights w, from sums in one pass."""
     s = x.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(e).alias(a) for a, e in {"sw": F.col("w"), "sx": F.col("w") * F.col("x"), "sy": F.col("w") * F.col("y"), "sxx": F.col("w") * F.col("x") * F.col("x"), "sxy": F.col("w") * F.col("x") * F.col("y"), "syy": F.col("w") * F.col("y") * F.col("y")}.items()))
-    xx, yy, xy = (F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") / F.col("sw") for a, b in ("xx", "yy", "xy"))
+    xx, yy, xy = (F.col(f"s{a}{b}") - F.try_divide(F.col(f"s{a}") * F.col(f"s{b}"), F.col("sw")) for a, b in ("xx", "yy", "xy"))
     return s.select(*keys, "n", safe_ratio(xy, xx).alias("slope"), safe_ratio(xy * xy, xx * yy).alias("r_squared"))
 
 
@@ -65,7 +65,7 @@ def lagged_fit(bars: DataFrame, n: int, least: int, x: str = "close") -> DataFra
     fit = fit.withColumn("inside", (b > 0) & (b < 1))
     kappa = F.when(F.col("inside"), -F.log("slope")).otherwise(0.0)
     left = F.greatest(F.col("syy") - b * b * F.col("sxx"), F.lit(0.0))
-    return fit.select("symbol", "n", "slope", kappa.alias("kappa"), F.when(F.col("inside"), F.log(F.lit(2.0)) / -F.log("slope")).alias("half_life"), safe_ratio(F.col("level"), 1 - b).alias("mean"), F.sqrt(left / (F.col("n") - 2)).alias("sigma"), safe_ratio(b - 1, F.sqrt(left / (F.col("n") - 2) / F.col("sxx"))).alias("t_unit_root"))
+    return fit.select("symbol", "n", "slope", kappa.alias("kappa"), F.when(F.col("inside"), F.log(F.lit(2.0)) / -F.log("slope")).alias("half_life"), safe_ratio(F.col("level"), 1 - b).alias("mean"), F.sqrt(left / (F.col("n") - 2)).alias("sigma"), safe_ratio(b - 1, F.sqrt(F.try_divide(left, (F.col("n") - 2) * F.col("sxx")))).alias("t_unit_root"))
 
 
 def variance_ratio_test(bars: DataFrame, n: int, q: int, least: int, x: str = "close") -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ratelake.functions import levels as L
 from ratelake.functions import series as S
-from ratelake.operators import estimators, trades
-from ratelake.plans.registry import BARS, SERIES, TRADES, prior, query, r
+from ratelake.operators import estimators, stationarity, trades
+from ratelake.plans.registry import BARS, QUERIES, SERIES, TRADES, prior, query, r
 from ratelake.sources.bars import order_bars, table
 
 LAST = "row_number() OVER (PARTITION BY symbol ORDER BY bar_date DESC) AS back"
@@ -107,3 +107,28 @@ def table_depth(spark, root):
     g = x.withColumn("m", latest).groupBy("event_type").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.countDistinct("user_id").alias("users"), r(F.avg(F.when(F.col("ts") >= F.col("m") - F.expr("interval 60 days"), F.col("value"))), "recent"))
     years = (F.unix_micros("last") - F.unix_micros("first")) / 1e6 / 86400 / 365.25
     return g.select("event_type", "n", "first", "last", r(years, "years"), F.datediff(F.lit("2030-01-01").cast("date"), "last").alias("stale_days"), "users", "recent", F.rank().over(W.partitionBy().orderBy(F.desc("users"), "event_type")).alias("place"))  # a row per type
+
+
+RECENT = f"""w AS (SELECT symbol, bar_date, close, {LAST} FROM bars), v AS (SELECT symbol, row_number() OVER {SERIES} AS i, close AS y, close - lag(close) OVER {SERIES} AS d FROM w WHERE back BETWEEN 2 AND 91)"""
+BY_I = "(PARTITION BY symbol ORDER BY i)"
+
+
+@query(f"""WITH {BARS}, {RECENT}, p AS (SELECT symbol, d AS z, lag(y) OVER {BY_I} AS u, lag(d) OVER {BY_I} AS v FROM v), s AS (SELECT symbol, count(*) AS n, covar_pop(u, u) AS uu, covar_pop(u, v) AS uv, covar_pop(v, v) AS vv, covar_pop(u, z) AS uz, covar_pop(v, z) AS vz, covar_pop(z, z) AS zz FROM p WHERE u IS NOT NULL AND v IS NOT NULL AND z IS NOT NULL GROUP BY 1), g AS (SELECT *, uu * vv - uv * uv AS det, (uz * vv - vz * uv) / (uu * vv - uv * uv) AS g, (vz * uu - uz * uv) / (uu * vv - uv * uv) AS h FROM s WHERE n > 10), adf AS (SELECT symbol, g / sqrt(n * (zz - g * uz - h * vz) / (n - 3) * vv / (n * det)) AS adf_t FROM g), e AS (SELECT symbol, i, y - avg(y) OVER (PARTITION BY symbol) AS e FROM v), k AS (SELECT symbol, e, sum(e) OVER (PARTITION BY symbol ORDER BY i ROWS UNBOUNDED PRECEDING) AS path, {", ".join(f"lag(e, {k}) OVER {BY_I} AS e{k}" for k in range(1, 11))} FROM e), kpss AS (SELECT symbol, sum(path * path) / count(*) / (sum(e * e) + {" + ".join(f"2 * (1 - {k} / 11) * coalesce(sum(e * e{k}), 0)" for k in range(1, 11))}) AS kpss FROM k GROUP BY 1), d AS (SELECT symbol, d, row_number() OVER {BY_I} - 1 AS j, count(*) OVER (PARTITION BY symbol) AS n FROM v WHERE d IS NOT NULL), c0 AS (SELECT *, unnest(list_distinct(list_transform(range(8), lambda k: round(exp(ln(8) + k / 7 * (ln(greatest(n // 2, 8)) - ln(8))))::INTEGER))) AS size FROM d), c AS (SELECT *, j // size AS chunk, d - avg(d) OVER (PARTITION BY symbol, size, j // size) AS e FROM c0 WHERE (j // size + 1) * size <= n), q AS (SELECT *, sum(e) OVER (PARTITION BY symbol, size, chunk ORDER BY j ROWS UNBOUNDED PRECEDING) AS path FROM c), r AS (SELECT symbol, size, chunk, (max(path) - min(path)) / stddev_pop(d) AS rs FROM q GROUP BY 1, 2, 3 HAVING stddev_pop(d) > 0), h AS (SELECT symbol, greatest(0, least(1, regr_slope(y, ln(size)))) AS hurst FROM (SELECT symbol, size, ln(avg(rs)) AS y FROM r GROUP BY 1, 2) GROUP BY 1 HAVING count(*) >= 4) SELECT adf.symbol AS symbol, round(adf_t, 4) AS adf_t, adf_t < -2.86 AS adf_reject, round(kpss, 6) AS kpss, kpss > 0.463 AS kpss_reject, round(hurst, 6) AS hurst FROM adf JOIN kpss ON kpss.symbol = adf.symbol JOIN h ON h.symbol = adf.symbol""")
+def stationarity_tests(spark, root):
+    x = stationarity.recent(order_bars(spark, root), 90)
+    found = stationarity.unit_root(x).join(stationarity.level_stationarity(x), "symbol").join(stationarity.rescaled_range(x), "symbol")
+    return found.select("symbol", r(F.col("adf_t"), "adf_t", 4), "adf_reject", r(F.col("kpss"), "kpss"), "kpss_reject", r(F.col("hurst"), "hurst"))
+
+
+def reversion_verdicts(spark, root):
+    """All tests of a series, the verdict of three of them, and the score for reverting."""
+    bars = order_bars(spark, root)
+    x = stationarity.recent(bars, 90)
+    found = stationarity.unit_root(x).join(stationarity.level_stationarity(x), "symbol").join(stationarity.rescaled_range(x), "symbol")
+    found = found.join(estimators.variance_ratio_test(bars, 90, 4, 40).select("symbol", "ratio"), "symbol").join(estimators.lagged_fit(bars, 90, 20).select("symbol", "half_life"), "symbol", "left")
+    z = bars.select("symbol", "bar_date", S.prior_z("close", 90).alias("z")).groupBy("symbol").agg(F.max_by("z", "bar_date").alias("z"))
+    found = found.join(z, "symbol").withColumn("score", L.reversion_score(F.col("z"), F.col("half_life"), F.col("hurst"), F.col("adf_reject")))
+    return found.select("symbol", stationarity.verdict("adf_reject", "kpss_reject", "ratio").alias("verdict"), r(F.col("score"), "reversion_score", 4))
+
+
+QUERIES["reversion_verdicts"] = reversion_verdicts
