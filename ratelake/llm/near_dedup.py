@@ -265,18 +265,19 @@ def _fitting(known: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) that may link, one of them in a bucket but not in the component of the bucket's first pivot.
 
     Two that share a rare shingle are paired by it; two that do not, only where sizes and numbers of rare shingles permit a link.
+    Of all buckets that two are in, only the one with the smallest number pairs them.
     """
     open_ = known.where("of <> first_of").select("band").distinct()
     known = stored(known.join(open_, "band", "left_semi"))
-    named = stored(known.groupBy("id").agg(F.min("of").alias("of")).join(sizes, "id"))
+    named = stored(known.groupBy("id").agg(F.min("of").alias("of"), F.collect_set("band").alias("bands")).join(sizes, "id"))
     rare, rows = _rare(named, texts)
     reach = stored(_reach(named, rare))
     near = _sharing(reach, rows)
-    known = known.join(reach.select("id", "least", "most", "reach").where(f"100 * reach >= {PERCENT} * least"), "id")
-    apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), F.col("least").alias("a_least"), F.col("reach").alias("a_reach"), F.explode(F.sequence(_bin(F.ceil(F.col("least") * PERCENT / 100)), _bin(F.col("reach")))).alias("bin"))
-    rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"), "first_of", F.col("least").alias("b_least"), F.col("reach").alias("b_reach"), F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
-    # Two that both stand apart come once.
-    alike = _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach"), "a", "b")
+    known = known.join(reach.select("id", "least", "most", "reach", "bands").where(f"100 * reach >= {PERCENT} * least"), "id")
+    apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), F.col("least").alias("a_least"), F.col("reach").alias("a_reach"), F.col("bands").alias("a_bands"), F.explode(F.sequence(_bin(F.ceil(F.col("least") * PERCENT / 100)), _bin(F.col("reach")))).alias("bin"))
+    rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"), "first_of", F.col("least").alias("b_least"), F.col("reach").alias("b_reach"), F.col("bands").alias("b_bands"), F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
+    # Two that both stand apart come once. In any bucket of two from two components one stands apart, so the first bucket serves for all.
+    alike = _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach and band = array_min(array_intersect(a_bands, b_bands))"), "a", "b")
     return near.union(alike).distinct()
 
 
