@@ -61,3 +61,16 @@ def sign_state(change: Column, small: Column, surprise: Column) -> Column:
     """FLAT, or direction, sign of the surprise and size of a release's change."""
     size = F.when(F.abs(change) <= small, "small").otherwise("large")
     return F.when(change == 0, "FLAT").otherwise(F.concat_ws("_", F.when(change > 0, "UP").otherwise("DOWN"), F.when(surprise > 0, "POS").otherwise("NEG"), size))
+
+
+def lattice_odds(move: Column, points: list[float]) -> list[Column]:
+    """Chance of each of evenly spaced points: linear between the two around ``move``, certain at the ends."""
+    step = points[1] - points[0]
+    inside = bounded(move, points[0], points[-1])
+    return [F.greatest(F.lit(0.0), 1 - F.abs(inside - p) / step) for p in points]
+
+
+def neutral_weights(front: Column, belly: Column, back: Column) -> tuple[Column, Column]:
+    """Weight of both wings against one belly, and of the back leg against one front leg, so that sensitivities cancel; 0 where they cannot."""
+    wing = F.when(front + back != 0, -belly / (front + back)).otherwise(0.0)
+    return wing, F.when(back != 0, front / back).otherwise(0.0)
