@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that a task holds in numpy arrays at once; one longer text is its own slice.
 SLICE_BYTES = 1 << 19
+#: The same where words are looked up once for all their places in a slice.
+SECTION_BYTES = 1 << 22
 
 
 def byte_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -48,3 +50,40 @@ def windows(batches: Iterator[pa.RecordBatch], overlap: int, text: str = "text",
         for at in range(0, max(1, len(data) - overlap), limit):
             x = data[at : at + limit + overlap]
             yield part, x, np.array([0, len(x)]), at
+
+
+def sections(batches: Iterator[pa.RecordBatch], breaks: np.ndarray, text: str = "text", limit: int = SECTION_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, bool]]:
+    """slices(), but a text of more than twice ``limit`` bytes comes in sections that end with a byte of ``breaks`` (256 booleans); the last item says that its text ends here.
+
+    A text without such a byte stays whole.
+    """
+    for part, data, offsets in slices(batches, text, limit):
+        if len(offsets) > 2 or len(data) <= 2 * limit:
+            yield part, data, offsets, True
+            continue
+        at = 0
+        while at < len(data):
+            to = at + limit
+            while to < len(data) and not breaks[data[to - 1]]:
+                ahead = np.flatnonzero(breaks[data[to : to + limit]])
+                to += int(ahead[0]) + 1 if len(ahead) else limit
+            to = min(to, len(data))
+            yield part, data[at:to], np.array([0, to - at]), to == len(data)
+            at = to
+
+
+def cut_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(number of each word in the list of different words, that list, begin of each word, its text); ``kinds`` is 0 for the bytes of words."""
+    inside = kinds[data] == 0
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= ~inside[:-1]
+    ends[:-1] &= ~inside[1:]
+    first = offsets[:-1][offsets[:-1] < offsets[1:]]
+    begins[first] = inside[first]
+    ends[first[first > 0] - 1] = inside[first[first > 0] - 1]
+    at, to = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    ends_at = np.zeros(len(at) + 1, np.int64)
+    np.cumsum(to - at, out=ends_at[1:])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(ends_at), pa.py_buffer(data[inside])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary, at, np.searchsorted(offsets, at, "right") - 1

@@ -69,4 +69,56 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN m ON m.id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
 """
 
-ORACLE_SQL = {"op3_decontamination": DECONTAMINATION, "op6_mixing": MIXING, "op8_near_dedup": NEAR_DEDUP}
+FILL_IN_MIDDLE = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS s FROM documents
+), h AS (
+  SELECT doc_id, x, length(x) AS n, ('0x' || s[1:8])::BIGINT AS h1, ('0x' || s[9:16])::BIGINT AS h2, ('0x' || s[17:24])::BIGINT AS h3, ('0x' || s[25:32])::BIGINT AS h4 FROM d
+), c AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+    CASE WHEN n = 0 OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), o AS (
+  SELECT *, substring(x, 1, p) AS a, substring(x, p + 1, q - p) AS b, substring(x, q + 1) AS z FROM c
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (q - p)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b ELSE '<S>' || z || '<P>' || a || '<M>' || b END) AS output_sha256, sha256(x) AS restored_sha256
+FROM o
+"""
+
+_PIECES = _WORDS.format(text="coalesce(text, '')", pattern=r"'[^.,;:!?\x0A-\x0D]+'")
+
+COLLOCATIONS = rf"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest({_PIECES}) AS piece FROM documents)
+), g AS (
+  SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k) GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM g WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10
+), cuts AS (
+  SELECT lang, k, phrase, a, j, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:k], ' ') AS rest FROM (SELECT *, unnest(range(1, k)) AS j FROM c)
+), scored AS (
+  SELECT u.lang, u.k, u.phrase, u.a, u.j, x.f AS l, y.f AS r, ((1000000::HUGEINT * u.a * u.a) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts u JOIN g x ON x.lang = u.lang AND x.phrase = u.head AND x.k = u.j JOIN g y ON y.lang = u.lang AND y.phrase = u.rest AND y.k = u.k - u.j
+), worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), covers AS (
+  SELECT lang, phrase, max(a) AS longer FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY lang, phrase
+), kept AS (
+  SELECT worst.* FROM worst LEFT JOIN covers USING (lang, phrase) WHERE k = 3 OR longer IS NULL OR 100 * longer < 50 * a
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
+
+ORACLE_SQL = {
+    "op3_decontamination": DECONTAMINATION,
+    "op6_mixing": MIXING,
+    "op8_near_dedup": NEAR_DEDUP,
+    "op11_fill_in_middle": FILL_IN_MIDDLE,
+    "op12_collocations": COLLOCATIONS,
+}

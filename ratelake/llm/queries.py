@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from ratelake.llm.collocations import collocations
 from ratelake.llm.decontamination import contamination_digest
+from ratelake.llm.fill_middle import fill_in_middle_digest
 from ratelake.llm.language_id import language_id
 from ratelake.llm.maxent_lm import lm_scores
 from ratelake.llm.mixing import mix_sources
@@ -15,6 +17,7 @@ from ratelake.llm.oracle import ORACLE_SQL  # noqa: F401
 from ratelake.llm.quality import quality_grades
 from ratelake.llm.suffix_dedup import repeat_digest
 from ratelake.llm.token_counts import token_counts
+from ratelake.llm.token_files import token_file_digest
 from ratelake.llm.url_filter import judge_urls
 
 
@@ -62,6 +65,18 @@ def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -75,5 +90,8 @@ QUERIES = {
         op8_near_dedup,
         op9_quality,
         op10_ogg_media,
+        op11_fill_in_middle,
+        op12_collocations,
+        op13_token_files,
     )
 }

@@ -34,13 +34,18 @@ def stored(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    where, files = _files(spark, path)
-    files.deleteOnExit(where)
+    delete_on_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete these files, if they are still there, when the application ends."""
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of stored tables that nothing reads any more."""
     for df in tables:
