@@ -72,12 +72,18 @@ def sections(batches: Iterator[pa.RecordBatch], breaks: np.ndarray, text: str =
             at = to
 
 
-def cut_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray, np.ndarray]:
-    """(number of each word in the list of different words, that list, begin of each word, its text); ``kinds`` is 0 for the bytes of words."""
+def cut_words(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, begin: np.ndarray | None = None) -> tuple[np.ndarray, pa.BinaryArray, np.ndarray, np.ndarray]:
+    """(number of each word in the list of different words, that list, begin of each word, its text); ``kinds`` is 0 for the bytes of words.
+
+    ``begin`` marks bytes of words at which a new one begins though none has ended.
+    """
     inside = kinds[data] == 0
     begins, ends = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
+    if begin is not None:
+        begins |= begin & inside
+        ends[:-1] |= begins[1:] & inside[:-1]
     first = offsets[:-1][offsets[:-1] < offsets[1:]]
     begins[first] = inside[first]
     ends[first[first > 0] - 1] = inside[first[first > 0] - 1]

@@ -18,6 +18,8 @@ import os
 import struct
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +38,8 @@ HEADER = "<4sIIIQQ"
 BLOCK_IDS, FILE_BLOCKS = 1 << 18, 16
 #: A byte that Spark puts after every block.
 BLOCK_END = 1
-#: Words that a worker remembers the ids of.
-REMEMBERED = 1 << 18
+#: Words that a worker remembers the ids of, and their characters.
+REMEMBERED, REMEMBERED_CHARS = 1 << 20, 1 << 25
 
 
 def lengths_table() -> np.ndarray:
@@ -74,46 +76,78 @@ def unpack(control: np.ndarray, data: np.ndarray, n: int, lengths: np.ndarray) -
 
 
 class WordTokenizer:
-    """Ids of texts by the tokenizers library, each different word between ASCII white space encoded once in a while.
+    """Ids of texts by the tokenizers library, each different word encoded once in a while.
 
-    This needs a tokenizer whose tokens never reach over white space, and whose normalizer looks at no neighbour beyond it.
+    Words end at ASCII white space, and between an ASCII letter and a punctuation mark. This needs a tokenizer whose
+    tokens never reach over these places, and whose normalizer looks at no neighbour beyond them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def encode(self, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.library, self.letters = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.library, self.letters):
+            t.no_truncation()
+            t.no_padding()
+        # A word of ASCII letters in lower case is one piece that the normalizer leaves as it is.
+        self.letters.normalizer, self.letters.pre_tokenizer = None, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.kinds, self.letter, self.mark = np.zeros(256, np.uint8), np.zeros(256, bool), np.zeros(256, bool)
+        self.kinds[[0x20, *range(0x09, 0x0E)]] = 1
+        self.letter[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1)]] = True
+        self.mark[list(b".,;:!?")] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        simple = [w.isascii() and w.isalpha() for w in words]
+        found = iter(self.letters.encode_batch_fast([w.lower() for w, x in zip(words, simple) if x], add_special_tokens=False))
+        others = iter(self.library.encode_batch_fast([w for w, x in zip(words, simple) if not x], add_special_tokens=False))
+        return [next(found if x else others).ids for x in simple]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text)"""
-        word, words, _, text = cut_words(data, offsets, kinds)
-        words = words.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
-        for w, e in zip(new, self.library.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in words]
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.concatenate(ids) if ids else np.zeros(0, np.uint32)
-        begin = (np.cumsum(size) - size)[word]
-        size = size[word]
+        begin = self.mark[data]
+        begin[1:] &= self.letter[data[:-1]]
+        begin[:1] = False
+        word, words, _, text = cut_words(data, offsets, self.kinds, begin)
+        words = words.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        self.chars += sum(len(words[i]) for i in new.tolist())
+        if len(self.known) + len(new) > REMEMBERED or self.chars > REMEMBERED_CHARS:
+            self._forget()
+            new = np.arange(len(words))
+        if len(new):
+            fresh = [words[i] for i in new.tolist()]
+            found = self._encode_words(fresh)
+            size = np.fromiter(map(len, found), np.int64, len(found))
+            at[new] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known.update(zip(fresh, at[new].tolist()))
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(size)])
+        begin, end = self.ends[at][word], self.ends[at + 1][word]
+        size = end - begin
         ends = np.cumsum(size)
-        out = flat[np.repeat(begin - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        out = self.ids[np.repeat(end - ends, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         return out, np.bincount(text, size, len(offsets) - 1).astype(np.int64)
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of_worker(path: str) -> WordTokenizer:
+    """One for all tasks of a worker, so that its words stay known."""
+    return WordTokenizer(path)
+
+
 def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int = BLOCK_IDS) -> DataFrame:
     """shard, block, doc_ids, sizes and ids (unsigned 32-bit, little-endian) in ascending order of doc_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordTokenizer(tokenizer)
-        kinds = np.zeros(256, np.uint8)
-        kinds[[0x20, *range(0x09, 0x0E)]] = 1
+        encoder = tokenizer_of_worker(tokenizer)
         shard, block = TaskContext.get().partitionId(), 0
         names, sizes, held, begun, total = [], [], [], [], 0
 
@@ -122,8 +156,8 @@ def token_blocks(docs: DataFrame, tokenizer: str, end_id: int, block_ids: int =
             types = [pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["shard", "block", "doc_ids", "sizes", "ids"])
 
-        for part, data, offsets, ends in sections(batches, kinds > 0):
-            ids, n = encoder.encode(data, offsets, kinds)
+        for part, data, offsets, ends in sections(batches, encoder.kinds > 0):
+            ids, n = encoder.encode(data, offsets)
             if not ends:
                 begun.append(ids)
                 continue
