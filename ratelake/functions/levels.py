@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -74,3 +76,28 @@ def neutral_weights(front: Column, belly: Column, back: Column) -> tuple[Column,
     """Weight of both wings against one belly, and of the back leg against one front leg, so that sensitivities cancel; 0 where they cannot."""
     wing = F.when(front + back != 0, -belly / (front + back)).otherwise(0.0)
     return wing, F.when(back != 0, front / back).otherwise(0.0)
+
+
+def z_pattern(scores: list[Column], elevated: float = 1.0, fresh: float = 1.5, alike: float = 0.75) -> Column:
+    """One of eight patterns of the scores of several windows, the shortest first. With a score missing: STABLE if the others are quiet, else MIXED."""
+    sizes, signs = [F.abs(z) for z in scores], [F.signum(z) for z in scores]
+    every = lambda flags: functools.reduce(lambda a, b: a & b, flags)
+    known = F.array_compact(F.array(*sizes))
+    near = 1e-9
+    down = every([a >= b - near for a, b in zip(sizes, sizes[1:])])
+    up = every([a <= b + near for a, b in zip(sizes, sizes[1:])])
+    together = every([a >= elevated for a in sizes] + [s == signs[0] for s in signs[1:]])
+    drifted = [sizes[0] < elevated, *(a >= fresh for a in sizes[-2:])] + [signs[-1] == signs[-2]] * (len(scores) > 1)
+    return (
+        F.when(F.size(known) == 0, "MIXED")
+        .when(F.array_max(known) < elevated, "STABLE")
+        .when(F.size(known) < len(scores), "MIXED")
+        .when(every([sizes[0] >= fresh, *(a < elevated for a in sizes[1:])]), "FRESH")
+        .when(every(drifted), "DRIFTED")
+        .when((sizes[0] >= elevated) & (sizes[-1] >= elevated) & (signs[0] * signs[-1] < 0), "REVERTING")
+        .when(~together, "MIXED")
+        .when(down & ~up, "ACCELERATING")
+        .when(up & ~down, "DECELERATING")
+        .when(F.array_max(known) - F.array_min(known) < alike, "PERSISTENT")
+        .otherwise("MIXED")
+    )

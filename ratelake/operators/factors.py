@@ -26,6 +26,17 @@ def changes(panel: DataFrame, by: list[str], at: str, node: str, value: str, nod
     return wide.select(*by, at, place.alias("i"), F.when(place > 0, steps).alias("x"))
 
 
+def standardised(x: DataFrame, by: list[str], d: int) -> DataFrame:
+    """Changes less their panel's mean, in its population deviations; those that never vary are left at their distance from the mean."""
+    w = W.partitionBy(*by)
+    scaled = []
+    for k in range(d):
+        v = F.col("x")[k]
+        sd = F.stddev_pop(v).over(w)
+        scaled.append((v - F.avg(v).over(w)) / F.when(sd > 1e-12, sd).otherwise(1.0))
+    return x.withColumn("x", F.when(F.col("x").isNotNull(), F.array(*scaled)))
+
+
 def _pairs(d: int) -> list[tuple[int, int]]:
     return [(a, b) for a in range(d) for b in range(a, d)]
 

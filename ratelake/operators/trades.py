@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ratelake.operators.folds import ordered_fold
+
 
 def first_touch(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     """Exit of each long entry (symbol, i, stop, target): the first of the next ``horizon`` bars that touches stop or target, else the last.
@@ -74,6 +77,59 @@ def simulate(fires: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     return held.groupBy("symbol", "i", "side").agg(F.max("k").alias("held"), F.coalesce(F.max_by("reason", "k"), F.lit("open")).alias("reason"), F.max_by("gain", "k").alias("gain"), F.max("against").alias("worst"), F.max("along").alias("best"))
 
 
+def exits(fires: DataFrame, bars: DataFrame, setup: list[str], horizon: int = 60, multiples: tuple[float, float] = (1.0, 2.0)) -> DataFrame:
+    """How a trade from each fire would end: setup, symbol, i, side, entry, stop, t1, t2, exit_i, exit_price, reason, held, mae_r, mfe_r and gain_r.
+
+    Fires have setup, symbol, i, side (LONG or SHORT), stop and the nullable targets t1 and t2; bars have symbol, i (their
+    running number), open, high, low and close. A trade enters at the next bar's open; a fire on the last bar, or with its
+    stop at the entry, makes none. From the bar after the entry on, a bar ends it by the stop, the second target, the
+    first, or a fire of the same setup the other way (then at the next open, if there is one); after ``horizon`` bars, or
+    with the last, it ends at the close. Without t1 the targets stand at ``multiples`` of the risk, if the stop is on the
+    right side. Excursions are those of the bars after the entry, in units of risk, and 0 at least.
+    """
+    key = [*setup, "symbol", "i", "side"]
+    ordered = W.partitionBy("symbol").orderBy("i")
+    b = bars.select("symbol", "i", "open", "high", "low", "close", F.lead("open").over(ordered).alias("next_open"), F.max("i").over(W.partitionBy("symbol")).alias("last"))
+    sign = F.when(F.col("side") == "SHORT", -1).otherwise(1)
+    e = fires.join(b.select("symbol", (F.col("i") - 1).alias("i"), F.col("open").alias("entry"), "last"), ["symbol", "i"]).where("abs(entry - stop) > 0")
+    e = e.withColumns({"sign": sign, "room": F.least(F.lit(horizon), F.col("last") - F.col("i") - 1), "risk": F.abs(F.col("entry") - F.col("stop"))})
+    right = F.col("t1").isNull() & (F.col("sign") * (F.col("entry") - F.col("stop")) > 0)
+    target = lambda c, m: F.when(right & F.col(c).isNull(), F.col("entry") + m * F.col("risk") * F.col("sign")).otherwise(F.col(c))
+    e = e.withColumns({"t1": target("t1", multiples[0]), "t2": target("t2", multiples[1])})
+    path = e.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("room").cast("int")))).withColumn("j", F.col("i") + 1 + F.col("k"))
+    x = path.join(b.select("symbol", F.col("i").alias("j"), "high", "low", "close", "next_open"), ["symbol", "j"])
+    other = fires.select(*setup, "symbol", F.col("i").alias("j"), F.when(F.col("side") == "SHORT", "LONG").otherwise("SHORT").alias("side"), F.lit(True).alias("turns")).distinct()
+    x = x.join(other, [*setup, "symbol", "j", "side"], "left")
+    best, worst = F.when(F.col("sign") > 0, F.col("high")).otherwise(-F.col("low")), F.when(F.col("sign") > 0, F.col("low")).otherwise(-F.col("high"))
+    turns = F.col("turns") & F.col("next_open").isNotNull()
+    hit = F.when(worst <= F.col("sign") * F.col("stop"), "stop").when(best >= F.col("sign") * F.col("t2"), "t2").when(best >= F.col("sign") * F.col("t1"), "t1").when(turns, "reversal")
+    reason = F.coalesce(F.when(F.col("k") > 0, hit), F.when(F.col("k") == F.col("room"), "time"))
+    price = F.when(reason == "stop", F.col("stop")).when(reason == "t2", F.col("t2")).when(reason == "t1", F.col("t1")).when(reason == "reversal", F.col("next_open")).otherwise(F.col("close"))
+    moved = lambda v: F.when(F.col("k") > 0, (v - F.col("sign") * F.col("entry")) / F.col("risk")).otherwise(0.0)
+    x = x.withColumns({"reason": reason, "exit_price": price, "along": moved(best), "against": moved(worst)})
+    x = x.withColumn("ended", F.min(F.when(F.col("reason").isNotNull(), F.col("k"))).over(W.partitionBy(*key))).where("k <= ended")
+    fixed = ["entry", "stop", "t1", "t2", "sign", "risk"]
+    y = x.groupBy(*key).agg(*(F.first(c).alias(c) for c in fixed), F.max_by(F.struct("reason", "exit_price", "k"), "k").alias("end"), F.least(F.min("against"), F.lit(0.0)).alias("mae_r"), F.greatest(F.max("along"), F.lit(0.0)).alias("mfe_r"))
+    held = F.col("end.k") + (F.col("end.reason") == "reversal").cast("int")
+    gain = F.col("sign") * (F.col("end.exit_price") - F.col("entry")) / F.col("risk")
+    return y.select(*key, "entry", "stop", "t1", "t2", (F.col("i") + 1 + held).alias("exit_i"), "end.exit_price", "end.reason", held.alias("held"), "mae_r", "mfe_r", gain.alias("gain_r"))
+
+
+def sequenced(trades: DataFrame, setup: list[str], cooldown: int = 3) -> DataFrame:
+    """Of the trades that exits() finds, those that are taken: a setup is in one trade of a symbol and side at a time, and pauses for ``cooldown`` bars after it."""
+
+    def step(state: list[int], part: pd.DataFrame) -> pd.DataFrame:
+        taken = []
+        for i, exit_i in zip(part["i"].tolist(), part["exit_i"].tolist()):
+            taken.append(state[0] is None or i - state[0] > cooldown)
+            if taken[-1]:
+                state[0] = exit_i
+        return part[taken]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in trades.schema)
+    return ordered_fold(trades, [*setup, "symbol", "side"], ["i"], lambda: [None], step, schema)
+
+
 def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
     """Aggregates of trades: counts, shares, sums, averages of each side, ratios, moments, quantiles, in money and in units of risk."""
     p, x = F.col(pnl), F.col(pnl) / F.col(risk)

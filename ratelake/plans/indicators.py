@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ratelake.functions import levels as L
 from ratelake.functions import series as S
 from ratelake.operators import smoothing
 from ratelake.plans.registry import BARS, SERIES, prior, query, r, trailing
@@ -106,12 +107,29 @@ def detector_fires(spark, root):
     return x.select("symbol", "bar_date", fires).where("s.side is not null").select("symbol", "bar_date", "s.setup", "s.side")
 
 
-@query(f"""WITH {BARS}, z AS (SELECT symbol, bar_date, close, {", ".join(f"CASE WHEN count(*) OVER {prior(n)} >= 2 AND stddev_samp(close) OVER {prior(n)} <> 0 THEN (close - avg(close) OVER {prior(n)}) / stddev_samp(close) OVER {prior(n)} END AS z{n}" for n in (5, 15, 60))} FROM bars) SELECT symbol, bar_date, CASE WHEN z5 IS NULL OR z15 IS NULL OR z60 IS NULL THEN NULL WHEN abs(z5) < 1 AND abs(z15) < 1 AND abs(z60) < 1 THEN 'STABLE' WHEN abs(z5) >= 2 AND abs(z60) < 1 THEN 'FRESH' WHEN abs(z5) < 1 AND abs(z60) >= 2 THEN 'DRIFTED' WHEN sign(z5) <> sign(z60) THEN 'REVERTING' WHEN abs(z5) >= 1 AND abs(z15) >= 1 AND abs(z60) >= 1 THEN 'PERSISTENT' WHEN abs(z5) > abs(z15) AND abs(z15) > abs(z60) THEN 'ACCELERATING' WHEN abs(z5) < abs(z15) AND abs(z15) < abs(z60) THEN 'DECELERATING' ELSE 'MIXED' END AS pattern FROM z""")
+@query(f"""
+WITH {BARS}, z AS (
+  SELECT symbol, bar_date, close, {", ".join(f"CASE WHEN count(*) OVER {prior(n)} >= 2 AND stddev_samp(close) OVER {prior(n)} <> 0 THEN (close - avg(close) OVER {prior(n)}) / stddev_samp(close) OVER {prior(n)} END AS z{n}" for n in (5, 15, 60))} FROM bars
+), l AS (
+  SELECT symbol, bar_date, [z5, z15, z60] AS z, list_transform([z5, z15, z60], lambda v: abs(v)) AS a FROM z
+)
+SELECT symbol, bar_date, CASE
+  WHEN len(list_filter(z, lambda v: v IS NULL)) = 3 THEN 'MIXED'
+  WHEN len(list_filter(a, lambda v: v >= 1)) = 0 THEN 'STABLE'
+  WHEN len(list_filter(z, lambda v: v IS NULL)) > 0 THEN 'MIXED'
+  WHEN a[1] >= 1.5 AND a[2] < 1 AND a[3] < 1 THEN 'FRESH'
+  WHEN a[1] < 1 AND a[2] >= 1.5 AND a[3] >= 1.5 AND sign(z[2]) = sign(z[3]) THEN 'DRIFTED'
+  WHEN a[1] >= 1 AND a[3] >= 1 AND sign(z[1]) <> sign(z[3]) THEN 'REVERTING'
+  WHEN least(a[1], a[2], a[3]) < 1 OR sign(z[1]) <> sign(z[2]) OR sign(z[2]) <> sign(z[3]) THEN 'MIXED'
+  WHEN a[1] >= a[2] - 1e-9 AND a[2] >= a[3] - 1e-9 AND NOT (a[1] <= a[2] + 1e-9 AND a[2] <= a[3] + 1e-9) THEN 'ACCELERATING'
+  WHEN a[1] <= a[2] + 1e-9 AND a[2] <= a[3] + 1e-9 AND NOT (a[1] >= a[2] - 1e-9 AND a[2] >= a[3] - 1e-9) THEN 'DECELERATING'
+  WHEN greatest(a[1], a[2], a[3]) - least(a[1], a[2], a[3]) < 0.75 THEN 'PERSISTENT' ELSE 'MIXED' END AS pattern
+FROM l
+""")
 def z_patterns(spark, root):
+    """How the scores of three windows, the shortest first, stand together."""
     x = order_bars(spark, root).withColumns({f"z{n}": S.prior_z("close", n) for n in (5, 15, 60)})
-    a, b, c = (F.abs(f"z{n}") for n in (5, 15, 60))
-    pattern = F.when(a.isNull() | b.isNull() | c.isNull(), None).when((a < 1) & (b < 1) & (c < 1), "STABLE").when((a >= 2) & (c < 1), "FRESH").when((a < 1) & (c >= 2), "DRIFTED").when(F.signum("z5") != F.signum("z60"), "REVERTING").when((a >= 1) & (b >= 1) & (c >= 1), "PERSISTENT").when((a > b) & (b > c), "ACCELERATING").when((a < b) & (b < c), "DECELERATING").otherwise("MIXED")
-    return x.select("symbol", "bar_date", pattern.alias("pattern"))
+    return x.select("symbol", "bar_date", L.z_pattern([F.col(f"z{n}") for n in (5, 15, 60)]).alias("pattern"))
 
 
 @query(f"""WITH {BARS}, l AS (SELECT symbol, bar_date, {", ".join(f"ln(close / lag(close, {n}) OVER {SERIES}) AS c{n}" for n in (20, 21, 30))} FROM bars), z AS (SELECT symbol, bar_date, {", ".join(f"CASE WHEN count(c{n}) OVER {trailing(252)} >= 60 AND stddev_samp(c{n}) OVER {trailing(252)} <> 0 THEN (c{n} - avg(c{n}) OVER {trailing(252)}) / stddev_samp(c{n}) OVER {trailing(252)} END AS z{n}" for n in (20, 21, 30))} FROM l), m AS (SELECT bar_date, avg(z21) AS blend, avg(z20) AS credit, max(abs(z30)) AS fx, count(z21) AS n FROM z GROUP BY 1) SELECT bar_date, n, round(blend, 4) AS blend, CASE WHEN blend < -1 THEN 'RISK_OFF' WHEN blend < -0.3 THEN 'CAUTIOUS' WHEN blend <= 0.3 THEN 'NEUTRAL' WHEN blend <= 1 THEN 'RISK_ON' WHEN blend > 1 THEN 'EUPHORIC' END AS regime, round(1 / (1 + exp(-credit)), 4) AS stress, round(fx, 4) AS widest FROM m""")
