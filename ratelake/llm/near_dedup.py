@@ -5,11 +5,10 @@
 2. Signatures are cut into bands; classes that share a band are candidates. In each of up to ``PIVOTS`` rounds every class of
    a bucket is paired with one pivot alone, unless both are in one component by then: the class that shares buckets with
    the most others, of those not yet in an earlier pivot's component. In a last round, classes that still are not in the
-   component of their bucket's first pivot meet the rest in two ways. Classes that share a rare shingle, one that at
-   most ``RARE`` of them have, are paired by it. Two that share none have at most their other shingles in common, which
-   bounds the sizes that permit a link, exactly; few classes far from the pivot have any partner left. So every pair of a
-   bucket is compared, cannot be a link, or is already in one component, and a bucket of thousands of copies makes a few
-   times as many pairs as members.
+   component of their bucket's first pivot meet the rest of the bucket, tile by tile: blocks of some ``BLOCK`` signatures
+   against each other, the unit of Spark's work being a pair of blocks. Only pairs that pass step 3 leave a tile, and
+   their texts are sent once a tile. So every pair of a bucket is compared or already in one component, a bucket of
+   thousands of copies makes a few times as many pairs as members, and no join lists the pairs of a group.
 3. A pair's signatures are compared in batches. After each batch the posterior of the similarity (uniform prior) is
    looked at; the pair goes as soon as the chance of reaching the threshold is below ``MISS``.
 4. Survivors are verified on the full sets of both texts; verified pairs are links, and components are found by
@@ -28,9 +27,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ratelake.llm.arrow_text import slices
 from ratelake.llm.shared_store import discard, stored
@@ -41,10 +41,8 @@ HASHES, BANDS, BATCH, MISS, PIVOTS = 128, 32, 32, 1e-6, 4
 SENT_IDS = 2_000_000
 #: Rounds go on while one in so many of their pairs is a link.
 FRUITFUL = 8
-#: A shingle that at most so many classes have is rare: pairing those that share it makes few pairs for each.
-RARE = 8
-#: Bins of set sizes to a factor e.
-SIZE_BINS = 24
+#: Members of a block in the last round: its signatures are compared with another block's in one numpy call.
+BLOCK = 128
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -214,71 +212,81 @@ def _met(known: DataFrame, pivots: DataFrame, found: DataFrame) -> DataFrame:
     return new.join(named, "band", "left").select("band", "id", "degree", "of", (F.col("met") | F.coalesce(F.col("of") == F.col("pivot_in"), F.lit(False))).alias("met"), F.coalesce("first", "pivot").alias("first"))
 
 
-def _shingles(texts: DataFrame) -> DataFrame:
-    """(id, shingle) of every text's set."""
+def _tiles(known: DataFrame, sizes: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs of blocks (band, main, i, j, left, right) in which every two of a bucket meet, unless both are in the component of its first pivot.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in slices(batches):
-            sets = shingle_sets(data, offsets)
-            row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64))], ["id", "shingle"])
-
-    return texts.mapInArrow(run, T.StructType([texts.schema["id"], T.StructField("shingle", T.LongType())]))
-
-
-def _rare(named: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of the shingles that at most ``RARE`` of the ids of ``named`` have: their number by id, and (id, shingle) of those that several have."""
-    few = named.select("id")
-    few = F.broadcast(few) if few.count() <= SENT_IDS else few
-    shingles = _shingles(texts.join(few, "id", "left_semi"))
-    counted = stored(shingles.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where(F.col("n") <= RARE))
-    several = counted.where("n > 1").select("shingle")
-    several = F.broadcast(several) if several.count() <= SENT_IDS else several
-    rows = stored(shingles.join(several, "shingle", "left_semi").select("id", "shingle"))
-    return counted.where("n = 1").select("id").union(rows.select("id")).groupBy("id").agg(F.count("*").alias("rare")), rows
-
-
-def _reach(named: DataFrame, rare: DataFrame) -> DataFrame:
-    """``named`` with free, the number of shingles that are not rare, and reach, the size of the largest set that an id may link to without a rare shingle in common.
-
-    With p common shingles at most, PERCENT needs (100 + PERCENT) * p >= PERCENT * (n + m) for sets of n and m. For ids
-    of several texts all shingles are free.
+    A bucket's members are dealt to blocks of about ``BLOCK`` by hash, those apart from the first pivot's component and
+    those in it (``main``) in blocks of their own; blocks meet by their numbers, so a large bucket spreads over tasks.
+    """
+    open_ = known.where("of <> first_of").select("band").distinct()
+    known = known.join(open_, "band", "left_semi").select("band", "id", "of", (F.col("of") == F.col("first_of")).alias("main"))
+    bands = known.groupBy("id").agg(F.collect_set("band").alias("bands"))
+    dealt = known.groupBy("band", "main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = known.join(dealt, ["band", "main"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.join(bands, "id").join(sizes, "id").join(members.select("id", "minima"), "id")
+    blocks = stored(rows.groupBy("band", "main", "block").agg(F.collect_list(F.struct("id", "of", "least", "most", "bands", "minima")).alias("rows")))
+    meets = dealt.select("band", "main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    apart = blocks.where("not main").select("band", F.col("block").alias("i"))
+    pairs = apart.join(meets, "band").where("main or i <= j")
+    left, right = blocks.where("not main").select("band", F.col("block").alias("i"), F.col("rows").alias("left")), blocks.select("band", "main", F.col("block").alias("j"), F.col("rows").alias("right"))
+    return pairs.join(left, ["band", "i"]).join(right, ["band", "main", "j"]).select("band", "main", "i", "j", "left", "right")
+
+
+def _compared(tiles: DataFrame, id_type: T.DataType) -> DataFrame:
+    """band, main, i, j and the arrays a and b: the pairs of each tile whose signatures and sizes leave a link possible, if it has any.
+
+    Of all buckets that two are in, only the one with the smallest number keeps them.
     """
-    free = F.when(F.col("texts") == 1, F.col("least") - F.coalesce("rare", F.lit(0))).otherwise(F.col("most"))
-    return named.join(rare, "id", "left").withColumn("free", free).withColumn("reach", F.expr(f"((100 + {PERCENT}) * free - {PERCENT} * least) div {PERCENT}"))
-
-
-def _sharing(known: DataFrame, rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share rare shingles and may link: what they share of those and the smaller number of their other ones bound what is common."""
-    told = rows.join(known.select("id", F.struct("id", "of", "least", "most", "free").alias("one")), "id")
-    lists = told.groupBy("shingle").agg(F.array_sort(F.collect_set("one")).alias("ones"))
-    others = F.expr(f"filter(slice(ones, k + 2, size(ones)), x -> x.of <> one.of and 100 * x.most >= {PERCENT} * one.least and 100 * one.most >= {PERCENT} * x.least)")
-    pairs = lists.select(F.posexplode("ones").alias("k", "one"), "ones").select("one", F.explode(others).alias("other")).groupBy("one", "other").agg(F.count("*").alias("n"))
-    return _pairs(pairs.where(f"(100 + {PERCENT}) * (least(one.free, other.free) + n) >= {PERCENT} * (one.least + other.least)"), "one.id", "other.id")
-
-
-def _bin(n: Column) -> Column:
-    return F.floor(F.log(F.greatest(n, F.lit(1))) * SIZE_BINS)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                band, main, i, j, left, right = (c[k].as_py() for c in batch.columns)
+                x, y = (np.frombuffer(b"".join(r["minima"] for r in side), np.uint32).reshape(-1, HASHES) for side in (left, right))
+                component = np.unique([r["of"] for side in (left, right) for r in side], return_inverse=True)[1]
+                fits = component[: len(left), None] != component[None, len(left) :]
+                (x_least, x_most), (y_least, y_most) = (np.array([[r["least"], r["most"]] for r in side], np.int64).T for side in (left, right))
+                fits &= (100 * x_most[:, None] >= PERCENT * y_least) & (100 * y_most >= PERCENT * x_least[:, None])
+                at, to = np.nonzero(fits)
+                found = np.zeros(len(at), np.int64)
+                for n in range(BATCH, HASHES + 1, BATCH):
+                    found += (x[at, n - BATCH : n] == y[to, n - BATCH : n]).sum(1)
+                    keep = found >= least_matches(n)
+                    at, to, found = at[keep], to[keep], found[keep]
+                pairs = {(max(p, q), min(p, q)) for p, q, u, v in ((left[s]["id"], right[t]["id"], left[s]["bands"], right[t]["bands"]) for s, t in zip(at.tolist(), to.tolist())) if min(set(u) & set(v)) == band}
+                if pairs:
+                    a, b = zip(*sorted(pairs))
+                    values = [[band], [main], [i], [j], [list(a)], [list(b)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, types)], types.names)
+
+    out = T.StructType([*(tiles.schema[c] for c in ("band", "main", "i", "j")), T.StructField("a", T.ArrayType(id_type)), T.StructField("b", T.ArrayType(id_type))])
+    types = to_arrow_schema(out)
+    return tiles.mapInArrow(run, out)
+
+
+def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of _compared() whose full sets reach the threshold. A text is sent once for all its pairs in a tile."""
+    key = ["band", "main", "i", "j"]
+    wanted = found.select(*(F.col(c).alias(f"of_{c}") for c in key), F.explode(F.array_union("a", "b")).alias("id"))
+    ids = wanted.select("id").distinct()
+    ids = F.broadcast(ids) if ids.count() <= SENT_IDS else ids
+    sent = wanted.join(texts.join(ids, "id", "left_semi"), "id")
 
-def _fitting(known: DataFrame, sizes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) that may link, one of them in a bucket but not in the component of the bucket's first pivot.
+    def run(tile: pa.Table, rows: pa.Table) -> pa.Table:
+        sets: dict[int, list[np.ndarray]] = {}
+        for name, text in zip(rows.column("id").to_pylist(), rows.column("text")):
+            if len(s := _set_of(text)):
+                sets.setdefault(name, []).append(s)
+        links = []
+        for a, b in zip(tile.column("a")[0].as_py(), tile.column("b")[0].as_py()):
+            common = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x in sets.get(a, ()) for y in sets.get(b, ()))
+            if any(100 * n >= PERCENT * (both - n) for n, both in common):
+                links.append((a, b))
+        return pa.table([pa.array([p[k] for p in links], t.type) for k, t in enumerate(types)], schema=types)
 
-    Two that share a rare shingle are paired by it; two that do not, only where sizes and numbers of rare shingles permit a link.
-    Of all buckets that two are in, only the one with the smallest number pairs them.
-    """
-    open_ = known.where("of <> first_of").select("band").distinct()
-    known = stored(known.join(open_, "band", "left_semi"))
-    named = stored(known.groupBy("id").agg(F.min("of").alias("of"), F.collect_set("band").alias("bands")).join(sizes, "id"))
-    rare, rows = _rare(named, texts)
-    reach = stored(_reach(named, rare))
-    near = _sharing(reach, rows)
-    known = known.join(reach.select("id", "least", "most", "reach", "bands").where(f"100 * reach >= {PERCENT} * least"), "id")
-    apart = known.where("of <> first_of").select("band", F.col("id").alias("a"), F.col("of").alias("a_of"), F.col("least").alias("a_least"), F.col("reach").alias("a_reach"), F.col("bands").alias("a_bands"), F.explode(F.sequence(_bin(F.ceil(F.col("least") * PERCENT / 100)), _bin(F.col("reach")))).alias("bin"))
-    rest = known.select("band", F.col("id").alias("b"), F.col("of").alias("b_of"), "first_of", F.col("least").alias("b_least"), F.col("reach").alias("b_reach"), F.col("bands").alias("b_bands"), F.explode(F.sequence(_bin(F.col("least")), _bin(F.col("most")))).alias("bin"))
-    # Two that both stand apart come once. In any bucket of two from two components one stands apart, so the first bucket serves for all.
-    alike = _pairs(apart.join(rest, ["band", "bin"]).where("a_of <> b_of and (b_of = first_of or a < b) and b_least <= a_reach and a_least <= b_reach and band = array_min(array_intersect(a_bands, b_bands))"), "a", "b")
-    return near.union(alike).distinct()
+    out = T.StructType([T.StructField(c, found.schema[c].dataType.elementType) for c in ("a", "b")])
+    types = to_arrow_schema(out)
+    return found.groupBy(*key).cogroup(sent.groupBy(*(f"of_{c}" for c in key))).applyInArrow(run, out)
 
 
 def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame:
@@ -322,10 +330,10 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
         # Only who is not in the component of the bucket's first pivot meets the rest of the bucket.
         name = found.select(F.col("id").alias("first"), F.col("component").alias("first_in"))
         known = stored(known.join(name, "first", "left").select("band", "id", "of", F.coalesce("first_in", "first").alias("first_of")))
-        sizes = signed.where("n_shingles > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"), F.countDistinct("set_key").alias("texts"))
-        more = stored(_prune(_fitting(known, sizes, texts), members))
-        if more.limit(1).count():
-            more = stored(_verify(more, texts))
+        sizes = signed.where("n_shingles > 0").groupBy(F.col("doc_id").alias("id")).agg(F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+        possible = stored(_compared(_tiles(known, sizes, members), members.schema["id"].dataType))
+        if possible.limit(1).count():
+            more = stored(_verified(possible, texts))
             if more.limit(1).count():
                 found = components(stored(links.union(more)))
     else:
