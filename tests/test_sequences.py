@@ -54,7 +54,7 @@ def rows_of(seed):
     bars, price = [], 100.0
     for _ in range(90):
         o = price + rng.choice([-0.5, 0, 0.5])
-        c = o + rng.choice([-1, -0.5, 0, 0.5, 1])
+        c = o + rng.choice([-1, -0.5, 0, 0.5, 1, rng.choice([-6, -1, 1, 6])])
         bars.append({"open": o, "high": max(o, c) + rng.choice([0, 0.5]), "low": min(o, c) - rng.choice([0, 0.5]), "close": c})
         price = c
     fires = []
