@@ -2,9 +2,9 @@
 
 1. Every text becomes its set of hashed five-word shingles and a signature of minima under ``HASHES`` hash functions.
    Texts with equal sets are one class from here on, so copies, however many, cost one member.
-2. Signatures are cut into bands; classes that share a band are candidates. In each of up to ``PIVOTS`` rounds every class of
-   a bucket is paired with one pivot alone, unless both are in one component by then: the class that shares buckets with
-   the most others, of those not yet in an earlier pivot's component. In a last round, classes that still are not in the
+2. Signatures are cut into bands; classes that share a band are candidates. In each of up to ``PIVOTS`` rounds every bucket
+   has a pivot: the class that shares buckets with the most others, of those not yet in an earlier pivot's component. A
+   class is paired with one pivot of its buckets alone, the one that shares the most, of those not in its component. In a last round, classes that still are not in the
    component of their bucket's first pivot meet the rest of the bucket, tile by tile: blocks of some ``BLOCK`` signatures
    against each other, the unit of Spark's work being a pair of blocks. Only pairs that pass step 3 leave a tile, and
    their texts are sent once a tile. So every pair of a bucket is compared or already in one component, a bucket of
@@ -265,7 +265,7 @@ def _compared(tiles: DataFrame, id_type: T.DataType) -> DataFrame:
 
 
 def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of _compared() whose full sets reach the threshold. A text is sent once for all its pairs in a tile."""
+    """Of the pairs (a, b) of _compared() whose full sets reach the threshold, as many as join the same components. A text is sent once for all its pairs in a tile."""
     key = ["band", "main", "i", "j"]
     wanted = found.select(*(F.col(c).alias(f"of_{c}") for c in key), F.explode(F.array_union("a", "b")).alias("id"))
     ids = wanted.select("id").distinct()
@@ -277,11 +277,20 @@ def _verified(found: DataFrame, texts: DataFrame) -> DataFrame:
         for name, text in zip(rows.column("id").to_pylist(), rows.column("text")):
             if len(s := _set_of(text)):
                 sets.setdefault(name, []).append(s)
-        links = []
+        links, joined = [], {}
+
+        def top(i):
+            while joined.get(i, i) != i:
+                i = joined[i]
+            return i
+
         for a, b in zip(tile.column("a")[0].as_py(), tile.column("b")[0].as_py()):
+            if (p := top(a)) == (q := top(b)):
+                continue  # links of this tile join them already
             common = ((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x in sets.get(a, ()) for y in sets.get(b, ()))
             if any(100 * n >= PERCENT * (both - n) for n, both in common):
                 links.append((a, b))
+                joined[max(p, q)] = min(p, q)
         return pa.table([pa.array([p[k] for p in links], t.type) for k, t in enumerate(types)], schema=types)
 
     out = T.StructType([T.StructField(c, found.schema[c].dataType.elementType) for c in ("a", "b")])
@@ -310,9 +319,11 @@ def near_duplicates(docs: DataFrame, columns: tuple[str, ...] = ()) -> DataFrame
     discard(banded)
     links, found, n_links = None, None, 0
     for _ in range(PIVOTS):
-        pivots = known.where("not met").groupBy("band").agg(F.max_by(F.struct("id", "of"), F.struct("degree", "id")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.of").alias("pivot_of"))
+        pivots = known.where("not met").groupBy("band").agg(F.max_by(F.struct("id", "of", "degree"), F.struct("degree", "id")).alias("p")).select("band", F.col("p.id").alias("pivot"), F.col("p.of").alias("pivot_of"), F.col("p.degree").alias("pivot_degree"))
         pivots = stored(pivots)
-        pairs = stored(_pairs(known.join(pivots, "band").where("of <> pivot_of"), "id", "pivot"))
+        # Of the pivots of its buckets a class meets the most central one: no more pairs than classes.
+        meets = known.join(pivots, "band").where("of <> pivot_of").groupBy("id").agg(F.max_by("pivot", F.struct("pivot_degree", "pivot")).alias("pivot"))
+        pairs = stored(_pairs(meets, "id", "pivot"))
         if not (n_pairs := pairs.count()):
             discard(pivots, pairs)
             break
