@@ -87,3 +87,25 @@ def eastern(day: Column, time: str) -> Column:
 def eastern_day(day: Column) -> tuple[Column, Column]:
     """First UTC time of a New York day, and that of the next."""
     return eastern(day, "00:00:00"), eastern(F.date_add(day, 1), "00:00:00")
+
+
+def _is_weekday(day: Column) -> Column:
+    return F.weekday(day) < 5
+
+
+def quarter_turn(day: Column, days: int = 5) -> Column:
+    """The last weekdays of March, June and September."""
+    left = _weekdays_before(F.date_add(F.last_day(day), 1)) - _weekdays_before(day)
+    return F.month(day).isin(3, 6, 9) & _is_weekday(day) & (left <= days)
+
+
+def year_turn(day: Column, before: int = 10, after: int = 5) -> Column:
+    """The last weekdays of December and the first of January."""
+    left = _weekdays_before(F.date_add(F.last_day(day), 1)) - _weekdays_before(day)
+    gone = _weekdays_before(F.date_add(day, 1)) - _weekdays_before(F.trunc(day, "month"))
+    return _is_weekday(day) & (((F.month(day) == 12) & (left <= before)) | ((F.month(day) == 1) & (gone <= after)))
+
+
+def payroll_week(day: Column) -> Column:
+    """The week, from Monday on, that has the first Friday of a month."""
+    return F.dayofmonth(F.date_add(F.trunc(day, "week"), 4)) <= 7
