@@ -58,12 +58,12 @@ def simulate(fires: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
     """Exit of each fire (symbol, i, side, risk): in at the next bar's open, stop and targets at one and two times ``risk`` from there.
 
     From the bar after the entry on, the stop counts before the second target and that before the first; after ``horizon``
-    bars, or with the last bar, the trade ends at the close. A fire on the last bar has no entry and gives no row. Bars
+    bars, or with the last bar, the trade ends at the close. A fire on the last bar has no entry and gives no row, one without risk neither. Bars
     have symbol, i, open, high, low and close. ``worst`` and ``best`` are the excursions while held, in units of risk.
     """
     sign = F.when(F.col("side") == "SHORT", -1).otherwise(1)
     entry = bars.select("symbol", (F.col("i") - 1).alias("i"), F.col("open").alias("entry"))
-    e = fires.join(entry, ["symbol", "i"]).withColumn("sign", sign)
+    e = fires.where("risk <> 0").join(entry, ["symbol", "i"]).withColumn("sign", sign)
     path = e.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(horizon)))).withColumn("j", F.col("i") + 1 + F.col("k"))
     x = path.join(bars.select("symbol", F.col("i").alias("j"), "low", "high", "close"), ["symbol", "j"])
     against = F.when(F.col("sign") > 0, F.col("entry") - F.col("low")).otherwise(F.col("high") - F.col("entry")) / F.col("risk")
@@ -132,7 +132,7 @@ def sequenced(trades: DataFrame, setup: list[str], cooldown: int = 3) -> DataFra
 
 def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
     """Aggregates of trades: counts, shares, sums, averages of each side, ratios, moments, quantiles, in money and in units of risk."""
-    p, x = F.col(pnl), F.col(pnl) / F.col(risk)
+    p, x = F.col(pnl), F.col(pnl) / F.nullif(F.col(risk), F.lit(0))
     up, down = F.when(p > 0, p), F.when(p < 0, p)
     gain, loss, n = F.sum(up), -F.sum(down), F.count("*")
     mean, sd = F.avg(p), F.stddev_pop(p)

@@ -17,12 +17,13 @@ def _files(spark: SparkSession, path: str):
 def write_panel(df: DataFrame, root: str, asof: str, by: list[str], force: bool = False) -> str:
     """One folder a date, partitioned by ``by``, with a one-row JSON manifest beside it; what is already complete stays as it is unless forced.
 
-    The manifest is written last, so a broken write is never taken for a whole one.
+    The manifest goes before the data are written anew and is written last, so a broken write is never taken for a whole one.
     """
     spark, path = df.sparkSession, f"{root}/asof={asof}"
     done, files = _files(spark, f"{path}/_manifest/_SUCCESS")
     if files.exists(done) and not force:
         return path
+    files.delete(done.getParent(), True)
     df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/data")
     facts = {"asof": asof, "by": by, "columns": df.columns}
     rows = spark.read.parquet(f"{path}/data").agg(F.count("*").alias("rows"), F.lit(json.dumps(facts)).alias("facts"))
