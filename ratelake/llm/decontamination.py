@@ -99,11 +99,11 @@ def _scan_block(docs: DataFrame, items: list[tuple[object, str | None]], width:
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, n_words, spans (hit runs with word and character offsets) and items (ids as strings) of every text.
 
     The size of the benchmark is measured first. Up to ``block_bytes`` of text it is one automaton, sent to the tasks;
-    beyond that its items are dealt to blocks of about that size, each one automaton and one scan of the documents, and a
+    beyond that its items are dealt to blocks of about that size (an automaton takes some 480 times its text in each worker), each one automaton and one scan of the documents, and a
     document's runs are united over the blocks. A single item must fit in a block's memory.
     """
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
