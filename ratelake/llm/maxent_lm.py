@@ -318,7 +318,8 @@ def _round(shares: DataFrame, vocabulary: Vocabulary, w: Weights, n_shares: int)
         return pa.table({"piece": piece.column("piece")[:1], "weights": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     out = T.StructType([T.StructField("piece", T.IntegerType()), T.StructField("share", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("weights", T.BinaryType())])
-    learned = shares.repartitionById(n_shares, F.col("share")).mapInArrow(learn, out)
+    # Steps depend on the order of rows, which a shuffle or a lost executor must not decide.
+    learned = shares.repartitionById(n_shares, F.col("share")).sortWithinPartitions("place").select("share", "text").mapInArrow(learn, out)
     pieces = learned.groupBy("piece").applyInArrow(average, "piece int, weights binary")
     found = stored(pieces)
     table = found.toArrow().sort_by("piece")
@@ -344,10 +345,11 @@ def train(texts: DataFrame, rounds: int = ROUNDS) -> LanguageModel:
     small = Vocabulary(vocabulary.words[top], vocabulary.counts[top], vocabulary.own[top], vocabulary.bucket_count, vocabulary.bucket_words, 0, 0)
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shares = max(1, math.ceil((n_bytes / SHARE_BYTES) ** 0.5))
-    dealt = F.pmod(F.xxhash64("doc_id"), F.lit(rounds * n_shares))
-    shares = texts.select(dealt.alias("dealt"), "text").where("text is not null")
+    # By id and text, so that rows without an id are dealt out too.
+    place = F.xxhash64("doc_id", "text")
+    shares = texts.select(F.pmod(place, F.lit(rounds * n_shares)).alias("dealt"), place.alias("place"), "text").where("text is not null")
     for k in range(rounds):
-        w = _round(shares.where(F.col("dealt") % rounds == k).select((F.col("dealt") / rounds).cast("int").alias("share"), "text"), small, w, n_shares)
+        w = _round(shares.where(F.col("dealt") % rounds == k).select((F.col("dealt") / rounds).cast("int").alias("share"), "place", "text"), small, w, n_shares)
     return LanguageModel(counted, vocabulary, w)
 
 

@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ratelake.llm import maxent_lm as lm
 
@@ -43,6 +44,12 @@ def test_scores_do_not_depend_on_what_is_sent(spark, sf_dir, monkeypatch, sent):
     assert joined.keys() == whole.keys() and all(math.isclose(joined[i], whole[i], rel_tol=1e-6) for i in whole)
 
 
+def test_scores_do_not_depend_on_the_layout(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", F.when(F.col("doc_id") % 9 != 0, F.col("doc_id")).alias("doc_id"))
+    few, many = (sorted((r["doc_id"] or 0, r["n_tokens"], round(r["score"], 4)) for r in lm.lm_scores(docs.repartition(n)).collect()) for n in (3, 8))
+    assert few == many
+
+
 @pytest.mark.parametrize("texts", [[None, "", " ", "a", "a", "B b  é", "x" * 3000], []])
 def test_awkward_rows(spark, texts):
     rows = [(i, t, 1, "k") for i, t in enumerate(texts)]
