@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ratelake.functions import series as S
 from ratelake.operators import estimators, joins, smoothing, trades
-from ratelake.plans import contracts, factors, indicators, neighbours, policy, resampling, sequences, setups, studies, turns  # noqa: F401  they register their queries
+from ratelake.plans import contracts, factors, impact, indicators, neighbours, policy, resampling, sequences, setups, studies, turns  # noqa: F401  they register their queries
 from ratelake.plans.registry import BARS, ORACLE_SQL, QUERIES, SERIES, TRADES, prior, query, r, trailing  # noqa: F401
 from ratelake.sources.bars import event_bars, order_bars, table
 
