@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratelake.operators.folds import ordered_fold
+from ratelake.operators.quantiles import alike, quantiles
 
 
 def first_touch(entries: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
@@ -131,7 +132,7 @@ def sequenced(trades: DataFrame, setup: list[str], cooldown: int = 3) -> DataFra
 
 
 def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
-    """Aggregates of trades: counts, shares, sums, averages of each side, ratios, moments, quantiles, in money and in units of risk."""
+    """Aggregates of trades: counts, shares, sums, averages of each side, ratios, moments, in money and in units of risk."""
     p, x = F.col(pnl), F.col(pnl) / F.nullif(F.col(risk), F.lit(0))
     up, down = F.when(p > 0, p), F.when(p < 0, p)
     gain, loss, n = F.sum(up), -F.sum(down), F.count("*")
@@ -139,10 +140,17 @@ def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
     below = F.sqrt(F.avg(F.pow(F.least(p, F.lit(0.0)), 2)))
     return [
         n.alias("trades"), F.count_if(p > 0).alias("wins"), F.count_if(p < 0).alias("losses"), F.count_if(p == 0).alias("even"),
-        (100.0 * F.count_if(p > 0) / n).alias("win_pct"), F.sum(p).alias("total"), mean.alias("mean"), F.median(p).alias("median"), sd.alias("deviation"),
+        (100.0 * F.count_if(p > 0) / n).alias("win_pct"), F.sum(p).alias("total"), mean.alias("mean"), sd.alias("deviation"),
         gain.alias("gain"), loss.alias("loss"), F.avg(up).alias("mean_win"), (-F.avg(down)).alias("mean_loss"), F.max(p).alias("best"), F.min(p).alias("worst"),
         F.when(loss > 0, gain / loss).alias("profit_factor"), F.when(F.avg(down) < 0, -F.avg(up) / F.avg(down)).alias("payoff"), mean.alias("expectancy"),
         F.when(sd > 0, mean / sd * F.sqrt(F.lit(252.0))).alias("sharpe"), F.when(below > 0, mean / below * F.sqrt(F.lit(252.0))).alias("sortino"),
-        F.avg(x).alias("mean_r"), F.median(x).alias("median_r"), F.sum(x).alias("total_r"), F.stddev_pop(x).alias("deviation_r"), F.count_if(x >= 1).alias("above_1r"), F.count_if(x >= 2).alias("above_2r"), F.count_if(x <= -1).alias("below_1r"),
-        *(F.percentile(p, F.lit(q / 100)).alias(f"p{q}") for q in (5, 25, 75, 95)),
+        F.avg(x).alias("mean_r"), F.sum(x).alias("total_r"), F.stddev_pop(x).alias("deviation_r"), F.count_if(x >= 1).alias("above_1r"), F.count_if(x >= 2).alias("above_2r"), F.count_if(x <= -1).alias("below_1r"),
     ]
+
+
+def metric_pack(rows: DataFrame, keys: list[str], pnl: str = "pnl", risk: str = "risk") -> DataFrame:
+    """The full pack per ``keys`` with its quantiles, which no task takes from a whole group; null where a group has no result."""
+    probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
+    q = quantiles(rows, keys, {"money": F.col(pnl), "r": F.col(pnl) / F.nullif(F.col(risk), F.lit(0))}, probs)
+    q = q.select(*keys, *(F.col(f"money_{p}").alias(p) for p in probs), F.col("r_median").alias("median_r"))
+    return alike(rows.groupBy(*keys).agg(*full_pack(pnl, risk)), q, keys, "left")

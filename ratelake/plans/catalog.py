@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ratelake.functions import series as S
-from ratelake.operators import estimators, joins, smoothing, trades
+from ratelake.operators import estimators, joins, quantiles, smoothing, trades
 from ratelake.plans import contracts, factors, impact, indicators, neighbours, policy, resampling, sequences, setups, studies, turns  # noqa: F401  they register their queries
 from ratelake.plans.registry import BARS, ORACLE_SQL, QUERIES, SERIES, TRADES, prior, query, r, trailing  # noqa: F401
 from ratelake.sources.bars import event_bars, order_bars, table
@@ -203,8 +203,10 @@ def analog_neighbours(spark, root):
 def state_quartiles(spark, root):
     x = table(spark, root, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_totalprice").join(table(spark, root, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
     x = x.join(table(spark, root, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name"), "c_nationkey")
-    p = lambda q: F.percentile("o_totalprice", F.lit(q))
-    return x.groupBy("n_name", "c_mktsegment").agg(F.count("*").alias("n"), r(p(0.5), "median", 4), r(p(0.25), "p25", 4), r(p(0.75), "p75", 4), r(F.avg(F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0)), "share"))
+    keys = ["n_name", "c_mktsegment"]
+    g = x.groupBy(*keys).agg(F.count("*").alias("n"), r(F.avg(F.when(F.col("o_totalprice") > 150000, 1.0).otherwise(0.0)), "share"))
+    q = quantiles.quantiles(x, keys, {"q": F.col("o_totalprice")}, {"median": 0.5, "p25": 0.25, "p75": 0.75})
+    return quantiles.alike(g, q, keys, "left").select(*keys, "n", *(r(F.col(f"q_{c}"), c, 4) for c in ("median", "p25", "p75")), "share")
 
 
 @query("""WITH b AS (SELECT min(value) AS lo, max(value) AS hi FROM events) SELECT CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 20), 19) END::BIGINT AS bin, count(*) AS n FROM events, b WHERE value IS NOT NULL GROUP BY 1""")
