@@ -8,30 +8,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-COARSE, FINE = 4096, 1 << 20  # parts of a binary order of magnitude, and of such a part
-LEAST = -1022  # exponent of the smallest normal double
-OUTER = (1100 - LEAST) * 2 * COARSE  # beyond the cell of any finite value
+COARSE, FINE = 2048, 1 << 20  # parts of a unit of the logarithm, and of such a part
+OUTER = 1000 * COARSE  # beyond the cell of any finite value
 
 
 def _cells(x: DataFrame) -> DataFrame:
-    """``_v`` with its two cells, both in the order of the values: by exponent and first bits, then by the bits after them.
+    """``_v`` with its two cells, both in the order of the values: whole parts of its signed logarithm, then parts of the rest.
 
-    Scaling by a power of two is exact, so equal values always share their cells and no value passes another; infinities and NaN
-    (after all else, as Spark sorts it) have cells of their own.
+    The logarithm of one more than a size never falls where the size grows, so equal values share their cells and no value passes another;
+    sizes far below one share a cell, which costs balance and no result. Infinities and NaN (after all else, as Spark sorts it) have cells of their own.
     """
     v = F.col("_v")
     odd = F.isnan(v) | (F.abs(v) == float("inf"))
-    x = x.withColumn("_a", F.when(odd, 0.0).otherwise(F.abs(v)))
-    x = x.withColumn("_e", F.greatest(F.coalesce(F.floor(F.log2(F.when(F.col("_a") > 0, F.col("_a")))), F.lit(LEAST)), F.lit(LEAST)))
-    two = lambda e: F.pow(F.lit(2.0), e.cast("double"))
-    m = F.col("_a") * two(-F.col("_e"))
-    x = x.withColumn("_e", F.when(m >= 2, F.col("_e") + 1).when((m < 1) & (F.col("_e") > LEAST), F.col("_e") - 1).otherwise(F.col("_e")))  # a rounded logarithm
-    x = x.withColumn("_m", F.col("_a") * two(-F.col("_e")) * COARSE)
-    sign = F.when(v < 0, -1).when(v > 0, 1).otherwise(0)
-    coarse = sign * ((F.col("_e") - LEAST + 1) * 2 * COARSE + F.floor("_m"))
-    fine = F.floor((F.col("_m") - F.floor("_m")) * FINE) * sign
-    coarse = F.when(F.isnan(v), OUTER + 1).when(odd, sign * OUTER).otherwise(coarse)
-    return x.withColumns({"_c1": coarse.cast("long"), "_c2": F.when(odd, 0).otherwise(fine).cast("long")}).drop("_a", "_e", "_m")
+    sign = F.when(v < 0, -1).otherwise(1)
+    x = x.withColumn("_t", F.when(F.isnan(v), OUTER + COARSE).when(odd, OUTER).otherwise(F.log1p(F.abs(v)) * COARSE))
+    whole = F.floor("_t")
+    return x.withColumns({"_c1": sign * whole, "_c2": sign * F.floor((F.col("_t") - whole) * FINE)}).drop("_t")
 
 
 def alike(a: DataFrame, b: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -57,8 +49,8 @@ def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], probs
     Nulls are left out; a group without a value has no row, and a value without any in its group is null. Null keys are a group. Names
     that begin with an underscore are kept for the operator.
 
-    Three passes over ``rows``, each one aggregation with partial counts: by coarse cells, of which a group has 4,096 a binary order of
-    magnitude at most; inside the coarse cells that hold a wanted rank, by fine cells, about a million at most; inside the fine cells that do, by
+    Three passes over ``rows``, each one aggregation with partial counts: by coarse cells, of which a group has 2,048 an e-fold
+    at most; inside the coarse cells that hold a wanted rank, by fine cells, about a million at most; inside the fine cells that do, by
     value. A hot group is spread over its cells, and a value that repeats is one row after the partial count. Only the cells of one
     group, not its rows, meet in a task. The cells that hold wanted ranks are two a quantile and group at most; their join is left to AQE,
     so each of the last two passes shuffles the rows once.
