@@ -148,7 +148,7 @@ def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
     ]
 
 
-def metric_pack(rows: DataFrame, keys: list[str], pnl: str = "pnl", risk: str = "risk") -> DataFrame:
+def full_metric_pack(rows: DataFrame, keys: list[str], pnl: str = "pnl", risk: str = "risk") -> DataFrame:
     """The full pack per ``keys`` with its quantiles, which no task takes from a whole group; null where a group has no result."""
     probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
     q = quantiles(rows, keys, {"money": F.col(pnl), "r": F.col(pnl) / F.nullif(F.col(risk), F.lit(0))}, probs)

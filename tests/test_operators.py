@@ -58,3 +58,11 @@ def test_streamed_bars_equal_batch_bars(spark, sf_dir, tmp_path):
     q.awaitTermination(120)
     batch = streams.bars(spark.read.parquet(str(tmp_path / "in")))
     assert sorted(map(tuple, spark.table("bars_out").collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_metric_pack_over_grouping_sets(spark):
+    rows = [("a", "x", 2.0), ("a", "y", -1.0), ("b", "x", 4.0), ("b", "x", 0.0)]
+    got = spark.createDataFrame(rows, "k string, l string, pnl double").cube("k", "l").agg(*trades.metric_pack()).collect()
+    found = {(r["k"], r["l"]): (r["trades"], r["wins"], r["win_pct"], r["total"], r["mean"], r["profit_factor"]) for r in got}
+    assert len(got) == len(found) == 8 and found[None, None] == (4, 2, 50.0, 5.0, 1.25, 6.0)
+    assert found["a", None] == (2, 1, 50.0, 1.0, 0.5, 2.0) and found["b", "x"] == (2, 1, 50.0, 4.0, 2.0, None)
