@@ -213,6 +213,16 @@ def _lexicon_counts(labelled: DataFrame) -> DataFrame:
     return labelled.select("lang", "text").mapInArrow(run, "lang string, row long, n long").groupBy("lang", "row").agg(F.sum("n").alias("n"))
 
 
+def _lexicon_table(counted: DataFrame, languages: list[str]) -> np.ndarray:
+    """The counts as lexicon rows x languages. They come as Arrow columns of numbers, 16 bytes a row; as Python rows they would take more than the model."""
+    column = F.array_position(F.array(*map(F.lit, languages)), F.col("lang")).cast("int") - 1
+    packed = counted.select(column.alias("column"), F.col("row").cast("int").alias("row"), "n").toArrow()
+    table = np.zeros((LEXICON, len(languages)))
+    for part in packed.to_batches():
+        table[part.column(1).to_numpy(), part.column(0).to_numpy()] = part.column(2).to_numpy()
+    return table
+
+
 def _switched(words: Words, langs: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Order of the words, their languages and starts of sequences, after segments of the texts are dealt anew."""
     n = len(words.first)
@@ -260,9 +270,7 @@ def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, epochs: int = 8)
     k = len(languages)
     if not k:
         return Model([], np.zeros((FEATURES, 0)), np.zeros((LEXICON, 0)), 0.0, np.zeros((0, 0)), np.zeros(0))
-    lexicon = np.zeros((LEXICON, k))
-    counted = _lexicon_counts(labelled).toPandas()
-    lexicon[counted["row"], counted["lang"].map({x: i for i, x in enumerate(languages)})] = counted["n"]
+    lexicon = _lexicon_table(_lexicon_counts(labelled), languages)
     lexicon = np.log((lexicon + 0.1) / (lexicon.sum(0) + 0.1 * LEXICON) * 1e6)
     lexicon = np.clip(lexicon - lexicon.mean(1, keepdims=True), -6, 6).astype(np.float32)
 

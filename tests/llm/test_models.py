@@ -1,8 +1,10 @@
 """Language ID and quality grades: held-out accuracy, defined results on awkward rows, and the chain against enumeration."""
 
 import itertools
+import tracemalloc
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ratelake.llm import language_id as li
 from ratelake.llm import quality as q
@@ -103,3 +105,15 @@ def test_ordinal_model_recovers_thresholds():
     model = q.learn(4000, np.arange(4000), np.zeros(4000, np.int64), x, y, epochs=400)
     assert abs(model.weights[0] - 2) < 0.3 and np.allclose(model.thresholds, [-1, 1.5], atol=0.3)
     assert np.allclose(model.chances(np.array([-3.0, 0, 3])).sum(1), 1)
+
+
+def test_a_full_lexicon_reaches_the_driver_as_numbers(spark):
+    names = ["aa", "bb", "cc"]
+    ids = spark.range(3 * li.LEXICON)
+    counted = ids.select(F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 3 + 1).cast("int")).alias("lang"), F.floor(F.col("id") / 3).alias("row"), (F.col("id") % 77).alias("n"))
+    tracemalloc.start()
+    table = li._lexicon_table(counted, names)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (table == np.arange(3 * li.LEXICON).reshape(-1, 3) % 77).all()
+    assert most < 30e6  # toPandas() of these rows takes some 200 MB
