@@ -1,4 +1,4 @@
-"""Estimators that are aggregates: regression slopes, half-lives, variance ratios, nearest neighbours."""
+"""Estimators that are aggregates: regression slopes, half-lives, variance ratios."""
 
 from __future__ import annotations
 
@@ -40,18 +40,6 @@ def false_discoveries(tests: DataFrame, p: str, tie: str, alpha: float) -> DataF
     return x.withColumn("below", F.col("place") <= F.coalesce(last, F.lit(0))).drop("_n")
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The k nearest vectors (Euclidean) to each of a stated set of queries, itself left out; ties by id.
-
-    Queries stand against all vectors in blocks of rows; each partition keeps only its k best of a query before the shuffle.
-    """
-    squared = F.aggregate(F.zip_with("q", "embedding", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda s, v: s + v)
-    pairs = vectors.hint("shuffle_replicate_nl").join(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), F.col("vec_id") != F.col("query_id"))
-    best = F.row_number().over(W.partitionBy("query_id").orderBy("d2", "vec_id"))
-    x = pairs.select("query_id", "vec_id", F.round(squared, 6).alias("d2"))
-    return x.withColumn("place", best).where(F.col("place") <= k)
-
-
 def lagged_fit(bars: DataFrame, n: int, least: int, x: str = "close") -> DataFrame:
     """Per symbol, over its last n rows before the latest: fit of x on its prior value and what follows from it for an Ornstein-Uhlenbeck process.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ratelake.functions import series as S
 from ratelake.operators import estimators, joins, smoothing, trades
+from ratelake.operators.nearest import nearest
 from ratelake.plans import contracts, factors, impact, indicators, neighbours, policy, resampling, sequences, setups, studies, turns  # noqa: F401  they register their queries
 from ratelake.plans.registry import BARS, ORACLE_SQL, QUERIES, SERIES, TRADES, prior, query, r, trailing  # noqa: F401
 from ratelake.sources.bars import event_bars, order_bars, table
@@ -196,7 +197,7 @@ def weighted_slopes(spark, root):
 @query("""WITH q AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 50 = 0), d AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(q, embedding), lambda s: (s[1]::DOUBLE - s[2]::DOUBLE) * (s[1]::DOUBLE - s[2]::DOUBLE))), 6) AS d2 FROM q JOIN embeddings ON vec_id <> query_id) SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY d2, vec_id))::INTEGER AS place FROM d QUALIFY place <= 10""")
 def analog_neighbours(spark, root):
     vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
-    return estimators.nearest(vectors.where("vec_id % 50 = 0"), vectors, 10)
+    return nearest(vectors.where("vec_id % 50 = 0"), vectors, 10)
 
 
 @query("""WITH m AS (SELECT n_name, c_mktsegment, count(*) AS n, median(o_totalprice) AS median, quantile_cont(o_totalprice, 0.25) AS p25, quantile_cont(o_totalprice, 0.75) AS p75, avg(CASE WHEN o_totalprice > 150000 THEN 1.0 ELSE 0 END) AS share FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2) SELECT n_name, c_mktsegment, n, round(median, 4) AS median, round(p25, 4) AS p25, round(p75, 4) AS p75, round(share, 6) AS share FROM m""")
