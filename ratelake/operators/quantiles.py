@@ -43,7 +43,7 @@ def _narrowed(cells: DataFrame, group: list[str], cell: str, wanted) -> DataFram
     return x.where(F.size("_left") > 0).drop("_upto")
 
 
-def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], probs: dict[str, float]) -> DataFrame:
+def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], probs: dict[str, float], few: bool = False) -> DataFrame:
     """Per ``keys`` the quantiles of each value, between ranks by linear interpolation, as ``<value>_<prob>``.
 
     Nulls are left out; a group without a value has no row, and a value without any in its group is null. Null keys are a group. Names
@@ -52,12 +52,13 @@ def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], probs
     Three passes over ``rows``, each one aggregation with partial counts: by coarse cells, of which a group has 2,048 an e-fold
     at most; inside the coarse cells that hold a wanted rank, by fine cells, about a million at most; inside the fine cells that do, by
     value. A hot group is spread over its cells, and a value that repeats is one row after the partial count. Only the cells of one
-    group, not its rows, meet in a task. The cells that hold wanted ranks are two a quantile and group at most; their join is left to AQE,
-    so each of the last two passes shuffles the rows once.
+    group, not its rows, meet in a task. The cells that hold wanted ranks are two a quantile and group at most. With ``few`` groups, whatever the
+    number of rows, they are broadcast, and no pass shuffles more than its partial counts; else each of the last two passes shuffles the rows once.
     """
     melted = F.explode(F.array(*(F.struct(F.lit(n).alias("_of"), (c.cast("double") + 0.0).alias("_v")) for n, c in values.items())))
     x = _cells(rows.select(*keys, melted.alias("_x")).select(*keys, "_x.*").where("_v is not null"))
     group = [*keys, "_of"]
+    sent = F.broadcast if few else lambda wanted: wanted
     place = lambda p: F.lit(float(p)) * (F.col("_all") - 1)
     ranks = F.array_distinct(F.flatten(F.array(*(F.array(F.floor(place(p)), F.ceil(place(p))) for p in probs.values()))))
 
@@ -67,10 +68,10 @@ def quantiles(rows: DataFrame, keys: list[str], values: dict[str, Column], probs
 
     coarse = _narrowed(x.groupBy(*group, "_c1").agg(F.count("*").alias("_n")), group, "_c1", first).drop("_n")
     inner = [*group, "_c1"]
-    found = alike(x, coarse, inner).groupBy(*inner, "_c2").agg(F.count("*").alias("_n"), F.first("_left").alias("_left"), F.first("_all").alias("_all"))
+    found = alike(x, sent(coarse), inner).groupBy(*inner, "_c2").agg(F.count("*").alias("_n"), F.first("_left").alias("_left"), F.first("_all").alias("_all"))
     fine = _narrowed(found, inner, "_c2", lambda y: y).drop("_n")
     inmost = [*inner, "_c2"]
-    found = alike(x, fine, inmost).groupBy(*inmost, "_v").agg(F.count("*").alias("_n"), F.first("_left").alias("_left"), F.first("_all").alias("_all"))
+    found = alike(x, sent(fine), inmost).groupBy(*inmost, "_v").agg(F.count("*").alias("_n"), F.first("_left").alias("_left"), F.first("_all").alias("_all"))
     hit = _narrowed(found, inmost, "_v", lambda y: y).select(*group, "_all", "_v", F.explode("_left.rank").alias("_rank"))
     at = hit.groupBy(*group).agg(F.first("_all").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))  # two entries a quantile
 

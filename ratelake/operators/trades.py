@@ -148,9 +148,9 @@ def full_pack(pnl: str = "pnl", risk: str = "risk") -> list[Column]:
     ]
 
 
-def full_metric_pack(rows: DataFrame, keys: list[str], pnl: str = "pnl", risk: str = "risk") -> DataFrame:
-    """The full pack per ``keys`` with its quantiles, which no task takes from a whole group; null where a group has no result."""
+def full_metric_pack(rows: DataFrame, keys: list[str], pnl: str = "pnl", risk: str = "risk", few: bool = False) -> DataFrame:
+    """The full pack per ``keys`` with its quantiles, which no task takes from a whole group; null where a group has no result. ``few``: as for quantiles()."""
     probs = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    q = quantiles(rows, keys, {"money": F.col(pnl), "r": F.col(pnl) / F.nullif(F.col(risk), F.lit(0))}, probs)
+    q = quantiles(rows, keys, {"money": F.col(pnl), "r": F.col(pnl) / F.nullif(F.col(risk), F.lit(0))}, probs, few)
     q = q.select(*keys, *(F.col(f"money_{p}").alias(p) for p in probs), F.col("r_median").alias("median_r"))
     return alike(rows.groupBy(*keys).agg(*full_pack(pnl, risk)), q, keys, "left")

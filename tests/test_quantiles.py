@@ -53,3 +53,16 @@ def test_cells_follow_the_order_of_values(spark):
     x = _cells(spark.createDataFrame([(v,) for v in values], "_v double")).orderBy("_v")
     cells = [(r["_c1"], r["_c2"]) for r in x.collect()]
     assert cells == sorted(cells) and len(set(cells)) > 3000
+
+
+def test_few_groups_broadcast_their_cells_and_do_not_shuffle_rows(spark, capsys):
+    x = spark.range(3000).select((F.col("id") % 2).alias("k"), F.sqrt("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        few = quantiles(x, ["k"], {"v": F.col("v")}, PROBS, few=True)
+        few.explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert sorted(few.collect()) == sorted(quantiles(x, ["k"], {"v": F.col("v")}, PROBS).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
