@@ -1,10 +1,11 @@
-"""Calendar slices, as registered, over trades with gaps and of one kind alone, against a plain loop."""
+"""Calendar slices, as registered, over trades with gaps and of one kind alone, against a plain loop and their SQL."""
 
 import datetime as dt
 from collections import defaultdict
 from decimal import ROUND_HALF_UP, Decimal
 from math import sqrt
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,3 +57,11 @@ def slices(spark, root):
 def test_calendar_slices_equal_a_plain_loop(spark, tmp_path, parts):
     write(spark, tmp_path, parts)
     assert slices(spark, tmp_path) == dict(plain(lines()))
+
+
+def test_calendar_slices_equal_their_sql(spark, tmp_path):
+    write(spark, tmp_path, 3)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    rows = con.sql(f"SELECT {', '.join(COLUMNS)} FROM ({entry.oracle_sql()['calendar_slices']})").fetchall()
+    assert slices(spark, tmp_path) == {r[:3]: r[3:] for r in rows} and len({r[:3] for r in rows}) == len(rows)
